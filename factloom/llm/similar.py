@@ -64,9 +64,15 @@ def similar_sets(df: DataFrame, id_col: str, tokens: str, threshold: float) -> t
     ranked = sets.select("id", F.explode("toks").alias("tok")).withColumn("h", F.xxhash64("tok"))
     freq = ranked.groupBy("h").agg(F.count("*").alias("df"))
     docs = ranked.join(freq, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    bit = lambda start: F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, start).bitwiseAND(F.lit(63)).cast("int"))))
+    one = F.lit(1).cast("long")
+
+    def parity(half: int) -> Column:
+        """64 bits; each token of this half of the hash space toggles one. Two sets differ in at least as many tokens as bits."""
+        mine = F.filter("h", lambda x: F.shiftrightunsigned(x, 40).bitwiseAND(one) == half)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(x, 8).bitwiseAND(F.lit(63)).cast("int"))))
+
     docs = docs.select("id", F.col("o.h").alias("h"), F.col("o.df").cast("array<double>").alias("f"), F.size("o").alias("n"))
-    docs = docs.withColumns({"need": _at_least(t, F.col("n")), "need_y": _at_least(2 * t / (1 + t), F.col("n")), "b1": bit(8), "b2": bit(24)})
+    docs = docs.withColumns({"need": _at_least(t, F.col("n")), "need_y": _at_least(2 * t / (1 + t), F.col("n")), "b1": parity(0), "b2": parity(1)})
 
     def cost(size: int) -> Column:
         """Keys and expected candidates when ``size`` prefix tokens have to be shared."""
