@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import lookalike, similar, splitting
+from factloom.llm import canonical, lookalike, similar, splitting
 from factloom.runtime import table
 
 STATEMENT_SIMILARITY = 0.68
@@ -49,4 +49,17 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).dropDuplicates(["source_id", "line_no", "piece_no"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_forms, p5_found, p5_pieces)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    areas = table(spark, d, "feature_areas")
+    s = table(spark, d, "statements").select("statement_id", "feature").where("feature is not null").distinct()
+    s = s.join(areas.select(F.col("area_name").alias("feature")), "feature", "left_anti")
+    found = canonical.map_to_list(s, "feature", areas, "area_id", "area_name", "alias_name")
+    return s.join(found, s.feature == found.value).select("statement_id", F.coalesce("entry_id", F.lit(0)).alias("area_id")).distinct()
+
+
+def p7_values(spark: SparkSession, d: str) -> DataFrame:
+    areas = table(spark, d, "feature_areas")
+    return canonical.map_to_list(table(spark, d, "statements"), "feature", areas, "area_id", "area_name", "alias_name")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_forms, p5_found, p5_pieces, p7_found, p7_values)}
