@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import canonical, lookalike, similar, splitting
+from factloom.llm import canonical, lookalike, similar, speaker_turns, splitting
 from factloom.runtime import table
 
 STATEMENT_SIMILARITY = 0.68
@@ -26,6 +26,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return similar.groups(*_statement_sets(spark, d)).withColumnRenamed("id", "statement_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return speaker_turns.speaker_turns(table(spark, d, "turns"), table(spark, d, "attendees"), want_text=False)
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return speaker_turns.speaker_turns(table(spark, d, "turns"), table(spark, d, "attendees"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "statements").select("statement_id", "source_id", "quote")
     t = table(spark, d, "turns").select("source_id", "line_no", "text")
@@ -62,4 +70,4 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_list(table(spark, d, "statements"), "feature", areas, "area_id", "area_name", "alias_name")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_forms, p5_found, p5_pieces, p7_found, p7_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_forms, p5_found, p5_pieces, p7_found, p7_values)}
