@@ -58,6 +58,6 @@ def bare(label: str) -> str:
     if m and m.group(2).strip(" .").lower() not in LEGAL_FORMS:
         s = f"{m.group(2)} {m.group(1)}"
     words = [w for w in s.split() if w]
-    while words and words[0].lower().strip(".") in TITLES:
+    while len(words) > 1 and words[0].lower().strip(".") in TITLES:
         words.pop(0)
     return " ".join(words)
