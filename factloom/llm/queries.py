@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import canonical, lookalike, similar, speaker_turns, splitting
+from factloom.llm import canonical, lookalike, personal, similar, speaker_turns, splitting
 from factloom.runtime import table
 
 STATEMENT_SIMILARITY = 0.68
@@ -57,6 +57,26 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).dropDuplicates(["source_id", "line_no", "piece_no"])
 
 
+def _given(spark: SparkSession, d: str) -> list[str]:
+    return personal.given_names(table(spark, d, "attendees"), "full_name")
+
+
+def _with_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "turns").select(F.lit("turns").alias("tab"), "source_id", F.col("line_no").cast("long").alias("row_no"), "text")
+    s = table(spark, d, "statements").select(F.lit("statements").alias("tab"), "source_id", F.col("seq").alias("row_no"), F.col("quote").alias("text"))
+    return t.union(s)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = personal.find_personal(_with_personal_data(spark, d), ["tab", "source_id", "row_no"], "text", _given(spark, d))
+    return found.select("tab", "source_id", "row_no", "kind", "start_pos").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    rows = _with_personal_data(spark, d).dropDuplicates(["tab", "source_id", "row_no"])
+    return personal.redact(rows, "text", _given(spark, d)).select("tab", "source_id", "row_no", "redacted")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     areas = table(spark, d, "feature_areas")
     s = table(spark, d, "statements").select("statement_id", "feature").where("feature is not null").distinct()
@@ -70,4 +90,4 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_list(table(spark, d, "statements"), "feature", areas, "area_id", "area_name", "alias_name")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_forms, p5_found, p5_pieces, p7_found, p7_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values)}
