@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import canonical, lookalike, personal, similar, speaker_turns, splitting
+from factloom.llm import canonical, lookalike, personal, similar, speaker_turns, spellings, splitting
 from factloom.runtime import table
 
 STATEMENT_SIMILARITY = 0.68
@@ -34,6 +34,19 @@ def p2_turns(spark: SparkSession, d: str) -> DataFrame:
     return speaker_turns.speaker_turns(table(spark, d, "turns"), table(spark, d, "attendees"))
 
 
+def _speakers(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "calls").select("source_id", "project").distinct()
+    s = table(spark, d, "statements").select("statement_id", "source_id", "speaker").where("speaker is not null").distinct()
+    return spellings.link_spellings(s.join(calls, "source_id"), "project", "speaker")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.same_entity_pairs(_speakers(spark, d), "project", "speaker")
+
+
+p3_entities = _speakers
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "statements").select("statement_id", "source_id", "quote")
     t = table(spark, d, "turns").select("source_id", "line_no", "text")
@@ -90,4 +103,4 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_list(table(spark, d, "statements"), "feature", areas, "area_id", "area_name", "alias_name")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values)} | {"p3_entities": p3_entities}
