@@ -16,6 +16,7 @@ NICKNAMES = {
     "jack": "john jackson", "jackie": "jacqueline", "jacqui": "jacqueline", "jake": "jacob", "jim": "james", "jimmy": "james", "jamie": "james", "jen": "jennifer", "jenny": "jennifer", "jess": "jessica", "jo": "josephine joanna joseph jonathan", "josie": "josephine", "joey": "joseph", "joe": "joseph", "jon": "jonathan", "jonny": "jonathan", "johnny": "john jonathan", "ken": "kenneth", "kenny": "kenneth", "larry": "lawrence laurence", "laurie": "lawrence laura", "leo": "leonardo leonard leopold", "len": "leonard leonardo", "lenny": "leonard leonardo", "luci": "lucinda", "lucy": "lucinda", "cindy": "lucinda cynthia",
     "matt": "matthew matthias", "matti": "matthias", "mattie": "matthew matthias matilda", "mike": "michael", "mick": "michael", "mickey": "michael", "mitch": "mitchell", "nadi": "nadia", "nat": "nathaniel nathan natalie", "nate": "nathaniel nathan", "nathan": "nathaniel", "nick": "nicholas", "nicky": "nicholas nicole", "klaus": "nicholas", "liv": "olivia", "livvy": "olivia", "ollie": "oliver olivia", "olu": "oluwaseun", "seun": "oluwaseun", "pat": "patricia patrick", "patty": "patricia", "patti": "patricia", "tricia": "patricia", "trish": "patricia", "pete": "peter", "phil": "philip", "pip": "philip", "pri": "priyanka", "priya": "priyanka",
     "rafe": "raphael", "raph": "raphael", "rafa": "raphael rafael", "becca": "rebecca", "becky": "rebecca", "reba": "rebecca", "rich": "richard", "rick": "richard", "ricky": "richard", "ron": "ronald", "sal": "sally salvatore", "sam": "samuel samantha", "sammy": "samuel", "steph": "stephanie", "steffi": "stephanie", "stevie": "stephanie steven", "steve": "steven stephen", "sue": "susan", "sukie": "susan", "suri": "suresh", "terry": "theresa terence", "tess": "therese theresa", "tessa": "therese theresa", "resi": "therese theresia", "thea": "dorothea theodora", "tim": "timothy", "timmy": "timothy", "tina": "christina valentina martina", "val": "valentina valerie", "tom": "thomas", "tommy": "thomas", "tony": "anthony antonio", "ursi": "ursula", "ulla": "ursula", "uschi": "ursula", "vic": "victor victoria", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "vin": "vincent", "vinny": "vincent", "vinnie": "vincent", "vince": "vincent", "wally": "walter", "walt": "walter", "xio": "xiomara", "mara": "xiomara tamara", "yas": "yasmin", "yazzy": "yasmin", "zac": "zacharias zachary", "zach": "zacharias zachary", "zack": "zacharias zachary", "zak": "zacharias", "zo": "zoe",
+    "hanni": "hannelore johanna hannah", "nacho": "ignacio", "sasha": "alexander alexandra", "sascha": "alexander", "hettie": "henrietta harriet", "matze": "matthias", "paco": "francisco", "pepe": "jose", "hans": "johannes", "uli": "ulrich ulrike", "gitta": "brigitte", "mia": "maria", "nina": "antonina christina", "toni": "antonia anton", "lupe": "guadalupe", "sandy": "alexandra sandra", "xandra": "alexandra",
 }
 # Given names in wide use, beside those of the reference list a caller passes.
 GIVEN_NAMES = (

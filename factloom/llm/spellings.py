@@ -156,7 +156,7 @@ def link_spellings(names: DataFrame, scope: str, name: str) -> DataFrame:
     degree = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree"))
     complete = F.size(F.filter(F.split("name", " "), lambda w: F.length(w) > 1))
     vertices = forms.select(vid("name").alias("v"), complete.alias("full"), "n").join(degree, "v", "left")
-    vertices = checkpoint(vertices.select("v", F.struct("full", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("degree", F.lit(0)).alias("d"), "v").alias("rank")))
+    vertices = checkpoint(vertices.select("v", F.struct("full", F.coalesce("degree", F.lit(0)).alias("d"), F.coalesce("n", F.lit(0)).alias("n"), "v").alias("rank")))
     stars = star_clusters(vertices, edges)
     out = typed.withColumn("v", vid("name")).join(stars, "v")
     return out.select(F.col("scope").alias(scope), F.col("typed").alias(name), F.element_at(F.split("centre", "\x01"), -1).alias("entity"))
