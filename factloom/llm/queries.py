@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import canonical, lookalike, personal, similar, speaker_turns, spellings, splitting
+from factloom.llm import canonical, leaks, lookalike, personal, similar, speaker_turns, spellings, splitting
 from factloom.runtime import table
 
 STATEMENT_SIMILARITY = 0.68
@@ -103,4 +103,12 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_list(table(spark, d, "statements"), "feature", areas, "area_id", "area_name", "alias_name")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values)} | {"p3_entities": p3_entities}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).where("edits = 0").select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values, p9_found, p9_leaks)} | {"p3_entities": p3_entities}
