@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import canonical, leaks, lookalike, personal, similar, speaker_turns, spellings, splitting
+from factloom.llm import canonical, languages, leaks, lookalike, personal, similar, speaker_turns, spellings, splitting
 from factloom.runtime import table
 
 STATEMENT_SIMILARITY = 0.68
@@ -111,4 +111,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).where("edits = 0").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values, p9_found, p9_leaks)} | {"p3_entities": p3_entities}
+LABELLED_PER_LANGUAGE = 300
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    crf = languages.train(languages.sample_labelled(docs, "text", "lang", "doc_id", LABELLED_PER_LANGUAGE))
+    return languages.document_languages(docs, "doc_id", "text", "lang", crf)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(p10_languages(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values, p9_found, p9_leaks, p10_found, p10_languages)} | {"p3_entities": p3_entities}
