@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.lookalike import transducer
-from factloom.llm.names import NUMBERED, UNKNOWN_VOICE, bare, fold, full_forms
+from factloom.llm.names import NICKNAMES, NUMBERED, UNKNOWN_VOICE, bare, fold, full_forms
+from factloom.runtime import checkpoint
 
 BLOCK_LINES = 5000
 
@@ -27,6 +28,7 @@ HESITATION = "u+m+|u+h+m*|e+r+m*|a+h+|e+h+|h+m+|m+|m+-?h+m+|uh-?huh|mhm|huh|oh"
 _ANNOTATION = re.compile(rf"\(\([^()]*\)\)|[\[({{<*][^\[\](){{}}<>*]*\b(?:{SOUNDS})\b[^\[\](){{}}<>*]*[\])}}>*]|♪[^♪\n]*♪|♪+", re.I)
 _FILLER = re.compile(rf"(?<![\w'’-])(?:{HESITATION}|(?:you know|i mean)(?=\s*(?:,|\.\.\.|…)))(?![\w'’]|-\w)\s*(?:\.\.\.|…|[,—–-]+)?\s*", re.I)
 _ONLY_FILLER = re.compile(rf"\b(?:{HESITATION}|you know|i mean)\b", re.I)
+_FIRST_WORD = re.compile(r"[^\w\[({<*♪]*([^\W_]+)")
 _CLOCK = r"(?:(\d{1,3}):)?(\d{1,3}):(\d{2})(?:[.,](\d{1,6}))?"
 _TS = re.compile(rf"^\W*{_CLOCK}(?:\s*-+>\s*.*)?\W*$")
 _TS_SECONDS = re.compile(r"^\W*(\d+)(?:[.,]\d+)?\s*s(?:ec(?:onds?)?)?\W*$", re.I)
@@ -61,6 +63,9 @@ def clean(body: str) -> str:
 
 
 def is_noise(body: str) -> bool:
+    first = _FIRST_WORD.match(body)
+    if first and not _ONLY_FILLER.match(first.group(1)) and first.group(1).lower() not in ("you", "i"):
+        return False  # a word of content stands before anything in brackets
     rest = _ONLY_FILLER.sub(" ", _ANNOTATION.sub(" ", body))
     return not any(c.isalnum() for c in rest)
 
@@ -72,15 +77,16 @@ def parse_line(ts: str | None, speaker: str | None, text: str | None, want_text:
     if text is None:
         return sec, label, False, True, None, None
     body, from_text, headless = form(text), False, None
-    if m := _HEAD_TIME.match(body):  # TIME
+    lead = body.lstrip()[:1]  # the patterns below need these characters
+    if (lead.isdigit() or lead in ("[", "(")) and (m := _HEAD_TIME.match(body)):  # TIME
         if sec < 0:
             sec = seconds(re.split(r"-+>", m.group())[0].strip(" -–"))
         body = body[m.end():]
-    if m := _HEAD_VOICE.match(body):  # LABEL, as a voice tag
+    if body.lstrip()[:1] == "<" and (m := _HEAD_VOICE.match(body)):  # LABEL, as a voice tag
         body = re.sub(r"</v>\s*$", "", body[m.end():])
         if label is None:
             label, from_text = f"<v {m.group(1)}>", False
-    elif m := _HEAD_LABEL.match(body):  # LABEL, before a colon
+    elif ":" in body[:80] and (m := _HEAD_LABEL.match(body)):  # LABEL, before a colon
         head = (m.group(1) or m.group(2)).strip()
         if label is None and len(head.split()) <= 6:
             label, from_text, headless = head, True, body[m.end():]
@@ -175,8 +181,6 @@ def fit(label: str, name: str) -> float:
 
 
 def full_forms_of(given: str) -> set[str]:
-    from factloom.llm.names import NICKNAMES
-
     return {short for short, names in NICKNAMES.items() if given in names.split()}
 
 
@@ -207,21 +211,44 @@ def resolve_labels(labels: DataFrame, attendees: DataFrame) -> DataFrame:
     keyed = labels.select("source_id", "label", F.explode(_label_keys("label")).alias("key"))
     people = attendees.where("full_name is not null and attendee_no is not null").select("source_id", F.col("attendee_no").cast("int"), "full_name").distinct()
     index = people.select("source_id", "attendee_no", "full_name", F.explode(F.concat(_attendee_keys("full_name"), F.array(F.concat(F.lit("#"), F.col("attendee_no").cast("string"))))).alias("key"))
-    met = keyed.join(index, ["source_id", "key"]).groupBy("source_id", "label", "attendee_no", "full_name").agg(F.max(F.col("key").startswith("#")).alias("numbered"))
+    met = keyed.join(index.hint("merge"), ["source_id", "key"]).groupBy("source_id", "label", "attendee_no", "full_name").agg(F.max(F.col("key").startswith("#")).alias("numbered"))
     met = met.withColumn("cost", F.when(F.col("numbered"), F.lit(0.0)).otherwise(_fit("label", "full_name"))).where("cost < 6")
     ranked = met.groupBy("source_id", "label").agg(F.min("cost").alias("least"))
-    won = met.join(ranked, ["source_id", "label"]).where(F.col("cost") <= F.col("least") + 1e-9)
+    won = met.join(ranked.hint("merge"), ["source_id", "label"]).where(F.col("cost") <= F.col("least") + 1e-9)
     return won.groupBy("source_id", "label").agg(F.min("attendee_no").alias("attendee_no"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def _carried(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Adds ``name``: the last non-null ``value`` of the lines before, in line order within source_id, over blocks."""
+def _filled(lines: DataFrame) -> DataFrame:
+    """Adds ``who``: the speaker of the line, else of the last line before that has one, else 0. Windows span a block at most."""
+    inside = Window.partitionBy("source_id", "blk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("source_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy("source_id", "blk").agg(F.max_by("said_by", F.when(F.col("said_by").isNotNull(), F.col("line_no"))).alias("_end"))
+    ends = ends.select("source_id", "blk", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    lines = lines.withColumn("_here", F.last("said_by", ignorenulls=True).over(inside)).join(ends.hint("merge"), ["source_id", "blk"])
+    return lines.withColumn("who", F.coalesce("_here", "_carried", F.lit(0))).drop("_here", "_carried")
+
+
+def _runs(lines: DataFrame, extra: list[Column]) -> DataFrame:
+    """Runs of one speaker within each block: source_id, blk, first_line, last_line, who, sec_line, sec, and ``extra``."""
     inside = Window.partitionBy("source_id", "blk").orderBy("line_no")
-    df = df.withColumn("_v", value)
-    ends = df.groupBy("source_id", "blk").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("line_no"))).alias("_e"))
-    ends = ends.withColumn("_c", F.last("_e", ignorenulls=True).over(Window.partitionBy("source_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("_w", F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    return df.join(ends.select("source_id", "blk", "_c"), ["source_id", "blk"]).withColumn(name, F.coalesce("_w", "_c")).drop("_v", "_w", "_c")
+    last = F.lag("who").over(inside)
+    lines = lines.withColumn("_start", F.when(last.isNull() | (last != F.col("who")), F.col("line_no")))
+    lines = lines.withColumn("_run", F.last("_start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = F.when(F.col("sec").isNotNull(), F.struct("line_no", "sec"))
+    runs = lines.groupBy("source_id", "blk", F.col("_run").alias("first_line")).agg(F.max("line_no").alias("last_line"), F.min("who").alias("who"), F.min(timed).alias("timed"), *extra)
+    return runs
+
+
+def _across_blocks(runs: DataFrame) -> DataFrame:
+    """Adds ``turn``: the first line of the whole run. Only the first and last run of each block can go on in another one."""
+    inside = Window.partitionBy("source_id", "blk")
+    runs = checkpoint(runs.withColumn("_edge", (F.col("first_line") == F.min("first_line").over(inside)) | (F.col("first_line") == F.max("first_line").over(inside))))
+    order = Window.partitionBy("source_id").orderBy("first_line")
+    edges = runs.where("_edge").select("source_id", "blk", "first_line", "who")
+    goes_on = (F.lag("blk").over(order) != F.col("blk")) & (F.lag("who").over(order) == F.col("who"))
+    edges = edges.withColumn("_start", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("first_line")))
+    edges = edges.select("source_id", "first_line", F.last("_start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_turn"))
+    return runs.join(edges.hint("merge"), ["source_id", "first_line"], "left").withColumn("turn", F.coalesce("_turn", "first_line"))
 
 
 def speaker_turns(turns: DataFrame, attendees: DataFrame, want_text: bool = True) -> DataFrame:
@@ -233,22 +260,18 @@ def speaker_turns(turns: DataFrame, attendees: DataFrame, want_text: bool = True
     in the text counts only if it means an attendee or an unknown voice; else it stays text.
     """
     lines = turns.where("source_id is not null and line_no is not null").select("source_id", F.col("line_no").cast("int"), _parser(want_text)("ts", "speaker", "text").alias("p"))
-    lines = lines.select("source_id", "line_no", "p.*").dropDuplicates(["source_id", "line_no"])
+    lines = checkpoint(lines.select("source_id", "line_no", "p.*").dropDuplicates(["source_id", "line_no"]))
     labels = lines.where("label is not null").select("source_id", "label").distinct()
     known = resolve_labels(labels, attendees)
-    lines = lines.join(known, ["source_id", "label"], "left")
+    lines = lines.join(known.hint("merge"), ["source_id", "label"], "left")
     nobody = F.col("label").rlike(r"(?i)^\W*(?:(?:unknown|unidentified|unnamed)(?:\s+(?:speaker|voice))?|speaker|voice)\W*$|^\W+$|^<v\s*>$")
     labelled = F.col("label").isNotNull() & (~F.col("from_text") | F.col("attendee_no").isNotNull() | nobody)
     lines = lines.select(
         "source_id", "line_no", F.floor(F.col("line_no") / BLOCK_LINES).alias("blk"), "noise", F.when(F.col("sec") >= 0, F.col("sec")).alias("sec"),
-        F.when(labelled, F.coalesce("attendee_no", F.lit(0))).alias("said_by"), F.when(labelled & F.col("from_text"), F.col("headless")).otherwise(F.col("body")).alias("text"),
+        F.when(labelled, F.coalesce("attendee_no", F.lit(0))).alias("said_by"), *([F.when(labelled & F.col("from_text"), F.col("headless")).otherwise(F.col("body")).alias("text")] if want_text else []),
     )
-    lines = _carried(lines, F.col("said_by"), "before")
-    lines = lines.withColumn("who", F.coalesce("said_by", "before", F.lit(0))).where(~F.col("noise")).drop("said_by", "before", "noise")
-    lines = _carried(lines, F.col("who"), "last_who")
-    lines = lines.withColumn("starts", F.when(F.col("last_who").isNull() | (F.col("last_who") != F.col("who")), F.col("line_no")))
-    lines = _carried(lines, F.col("starts"), "run").withColumn("run", F.coalesce("starts", "run"))
-    out = [F.max("line_no").alias("last_line"), F.first("who").alias("attendee_no"), F.coalesce(F.min_by("sec", F.when(F.col("sec").isNotNull(), F.col("line_no"))), F.lit(-1)).cast("long").alias("start_sec")]
+    runs = _across_blocks(_runs(_filled(lines).where(~F.col("noise")), [F.collect_list(F.struct("line_no", "text")).alias("texts")] if want_text else []))
+    out = [F.max("last_line").alias("last_line"), F.min("who").alias("attendee_no"), F.coalesce(F.min("timed").getField("sec"), F.lit(-1)).cast("long").alias("start_sec")]
     if want_text:
-        out.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text), " ").alias("text"))
-    return lines.groupBy("source_id", F.col("run").alias("first_line")).agg(*out)
+        out.append(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("texts"))), lambda x: x.text), " ").alias("text"))
+    return runs.groupBy("source_id", F.col("turn").alias("first_line")).agg(*out)
