@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import canonical, languages, leaks, lookalike, personal, similar, speaker_turns, spellings, splitting
+from factloom.llm import canonical, languages, leaks, lookalike, packing, personal, similar, speaker_turns, spellings, splitting
 from factloom.runtime import table
 
 STATEMENT_SIMILARITY = 0.68
@@ -103,6 +103,14 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_list(table(spark, d, "statements"), "feature", areas, "area_id", "area_name", "alias_name")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return p8_packed(spark, d).groupBy("container_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -124,4 +132,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(p10_languages(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values, p9_found, p9_leaks, p10_found, p10_languages)} | {"p3_entities": p3_entities}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values, p8_packed, p8_containers, p9_found, p9_leaks, p10_found, p10_languages)} | {"p3_entities": p3_entities}
