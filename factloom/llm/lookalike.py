@@ -189,8 +189,9 @@ def same_looking(left: DataFrame, right: DataFrame, on: list[str], left_text: st
 
     Only digests travel through the shuffle, never texts, and the digest is part of the key, so a key with
     very many rows is spread over all tasks. Null texts match nothing; empty texts look like each other.
-    Columns: ``on``, and the other columns of both sides.
+    Columns: ``on``, and the other columns of both sides; of columns both sides have, the left one's.
     """
+    right = right.drop(*[c for c in left.columns if c in right.columns and c not in (*on, right_text)])
 
     def side(df: DataFrame, text: str, digest: str) -> DataFrame:
         df = df.where(F.col(text).isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import canonical, languages, leaks, lookalike, packing, personal, similar, speaker_turns, spellings, splitting
+from factloom.llm.oracle import ORACLE
 from factloom.runtime import table
 
 STATEMENT_SIMILARITY = 0.68
@@ -132,4 +133,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(p10_languages(spark, d))
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_redacted, p7_found, p7_values, p8_packed, p8_containers, p9_found, p9_leaks, p10_found, p10_languages)} | {"p3_entities": p3_entities}
