@@ -16,6 +16,11 @@ BLANK = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 _MARK = "\x02"
 
 
+def let(col: Column, f) -> Column:
+    """f(value of col), with the value computed once although f uses it inside lambdas."""
+    return F.get(F.transform(F.array(col), f), F.lit(0))
+
+
 def normalise(col: Column) -> Column:
     """Lower case, straight quotes, single spaces, without blanks, quotes, full stops and commas at the ends."""
     folded = F.translate(F.lower(col), "’‘“”", "''\"\"")

@@ -165,6 +165,7 @@ FEATURES = ["norm", "words", "numbers", "numerals", "multipart", "no_change"]
 def with_features(df: DataFrame) -> DataFrame:
     """Adds the columns the fold needs of each row."""
     both = F.concat_ws(" ", "summary", "quote")
+    df = df.drop(*FEATURES)
     return df.select(
         "*", F.coalesce(X.normalise(F.col("quote")), F.lit("")).alias("norm"), X.merge_words(both).alias("words"), X.digit_numbers(F.col("quote")).alias("numbers"), X.numerals(F.col("quote")).alias("numerals"),
         X.is_multipart(F.col("quote")).alias("multipart"), C.is_no_change(both).alias("no_change"),

@@ -22,26 +22,27 @@ _TOKEN = "[a-z0-9]+"
 
 def _grams(tokens, n: int):
     """Hashes of all n-grams of a token array."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+    every = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " ")))
+    return X.let(tokens, lambda t: F.when(F.size(t) >= n, every(t)).otherwise(F.array().cast("array<bigint>")))
 
 
 def line_norms(turns: DataFrame, pairs: bool = True) -> DataFrame:
-    """source_id, line_no, norm: the normal form of each line, and (with ``pairs``) of it and the next one as one row.
+    """source_id, line_no, norm: the normal form of each line; with ``pairs`` of the line and the next one together, and own and next of each.
 
     Lines are met with their successors by an equality join on the line number, not by a window over the call.
     """
     lines = turns.where("text is not null and source_id is not null").dropDuplicates(["source_id", "line_no"]).select("source_id", "line_no", "text")
     if not pairs:
-        return lines.select("source_id", "line_no", X.normalise(F.col("text")).alias("norm"))
+        return lines.select("source_id", "line_no", X.normalise(F.col("text")).alias("norm"), X.normalise(F.col("text")).alias("own"), F.lit(None).cast("string").alias("next"))
     nxt = lines.select("source_id", (F.col("line_no") - 1).alias("line_no"), F.col("text").alias("next"))
     both = lines.join(nxt, ["source_id", "line_no"], "left")
-    return both.select("source_id", "line_no", X.normalise(F.concat_ws(" ", "text", "next")).alias("norm"))
+    return both.select("source_id", "line_no", X.normalise(F.concat_ws(" ", "text", "next")).alias("norm"), X.normalise(F.col("text")).alias("own"), X.normalise(F.col("next")).alias("next"))
 
 
 def verbatim_lines(quotes: DataFrame, key: str, quote: str, lines: DataFrame, on: list[str]) -> DataFrame:
     """(key, line_no): for each quote found verbatim, the first line that holds (or begins) it.
 
-    ``quotes`` has ``key``, ``on`` and the quote; ``lines`` has ``on``, line_no and norm. Quotes without letters or
+    ``quotes`` has ``key``, ``on`` and the quote; ``lines`` has ``on``, line_no, norm, own and next. Quotes without letters or
     digits are never verbatim. Quotes of one or two words can't be anchored inside; they are joined by call alone.
     """
     q = quotes.select(F.col(key).alias("_key"), *on, X.normalise(F.col(quote)).alias("_q")).where("_q <> ''").distinct()
@@ -50,12 +51,14 @@ def verbatim_lines(quotes: DataFrame, key: str, quote: str, lines: DataFrame, on
     mid = q.where(F.size("_t").between(3, 4)).withColumn("_g", F.xxhash64(F.element_at("_t", 2)))
     short = q.where(F.size("_t").between(1, 2))
     tokens = F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0))
-    by_three = lines.select(*on, "line_no", "norm", F.explode(F.array_distinct(_grams(tokens, 3))).alias("_g"))
-    by_one = lines.join(mid.select(*on).distinct(), on, "left_semi").select(*on, "line_no", "norm", F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("_g"))
+    by_three = lines.select(*on, "line_no", "norm", "own", "next", F.explode(F.array_distinct(_grams(tokens, 3))).alias("_g"))
+    by_one = lines.join(mid.select(*on).distinct(), on, "left_semi").select(*on, "line_no", "norm", "own", "next", F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("_g"))
     hits = [a.join(b, [*on, "_g"]) for a, b in ((long, by_three), (mid, by_one))] + [short.join(lines, on)]
     found = None
     for h in hits:
-        h = h.where(F.expr("contains(norm, _q)")).select("_key", "line_no")
+        # a quote that lies wholly in the next line begins there
+        later = F.expr("not contains(own, _q) and coalesce(contains(next, _q), false)")
+        h = h.where(F.expr("contains(norm, _q)")).select("_key", (F.col("line_no") + F.when(later, 1).otherwise(0)).alias("line_no"))
         found = h if found is None else found.union(h)
     return found.groupBy(F.col("_key").alias(key)).agg(F.min("line_no").alias("line_no"))
 

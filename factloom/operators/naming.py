@@ -132,7 +132,7 @@ def rehome(questions: DataFrame, key: str, facts: DataFrame, config: Config = CO
 
 def misrouted(assignments: DataFrame, area: str, text: str):
     """Whether none of the area's significant words occurs in the statement: then the area is not its home."""
-    return ~F.exists(X.significant_words(F.col(area)), lambda w: F.contains(F.lower(F.col(text)), w))
+    return ~F.exists(X.significant_words(F.col(area)), lambda w: F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), w))
 
 
 def consolidate(areas: list[str]) -> dict[str, str]:

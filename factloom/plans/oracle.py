@@ -207,8 +207,8 @@ ORACLE["candidate_spans"] = (
     "e AS (SELECT source_id, line_no, CAST(i - 1 AS INT) AS part, ps[i] AS span FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM k)) "
     "SELECT source_id, span, CAST(length(span) AS INT) AS n, line_no, part FROM (SELECT *, row_number() OVER (PARTITION BY source_id, span ORDER BY line_no, part) AS r FROM e) WHERE r = 1"
 )
-_PAIRS = f"(SELECT a.source_id, a.line_no, {norm('concat_ws(' + q(' ') + ', a.text, b.text)')} AS norm FROM {T} a LEFT JOIN {T} b ON a.source_id = b.source_id AND b.line_no = a.line_no + 1 WHERE a.text IS NOT NULL)"
-_GROUND = f"SELECT s.statement_id, min(l.line_no) AS quote_line FROM {S} s JOIN {_PAIRS} l ON s.source_id = l.source_id AND regexp_matches({norm('s.quote')}, '[a-z0-9]') AND contains(l.norm, {norm('s.quote')}) GROUP BY 1"
+_PAIRS = f"(SELECT a.source_id, a.line_no, {norm('concat_ws(' + q(' ') + ', a.text, b.text)')} AS norm, {norm('a.text')} AS own, {norm('b.text')} AS nxt FROM {T} a LEFT JOIN {T} b ON a.source_id = b.source_id AND b.line_no = a.line_no + 1 WHERE a.text IS NOT NULL)"
+_GROUND = f"SELECT s.statement_id, min(l.line_no + CASE WHEN NOT contains(l.own, {norm('s.quote')}) AND coalesce(contains(l.nxt, {norm('s.quote')}), false) THEN 1 ELSE 0 END) AS quote_line FROM {S} s JOIN {_PAIRS} l ON s.source_id = l.source_id AND regexp_matches({norm('s.quote')}, '[a-z0-9]') AND contains(l.norm, {norm('s.quote')}) GROUP BY 1"
 ORACLE["ground_verbatim"] = f"SELECT s.statement_id, CAST(g.quote_line IS NOT NULL AS INT) AS is_verbatim, g.quote_line FROM {S} s LEFT JOIN ({_GROUND}) g USING (statement_id)"
 ORACLE["quote_times"] = f"SELECT s.statement_id, coalesce(t.ts, 'not available') AS ts FROM {S} s LEFT JOIN ({_GROUND}) g USING (statement_id) LEFT JOIN {T} t ON t.source_id = s.source_id AND t.line_no = g.quote_line"
 ORACLE["dedup_quotes"] = f"SELECT source_id, norm, seq, statement_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id, norm ORDER BY seq) AS r FROM (SELECT source_id, {norm('quote')} AS norm, seq, statement_id FROM {S} WHERE quote IS NOT NULL)) WHERE r = 1"

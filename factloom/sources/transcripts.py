@@ -19,7 +19,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.{txt,vtt,md}") ->
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
-    files = raw.select(stem.alias("source_id"), "path", F.btrim(F.decode(F.col("content"), "UTF-8"), F.lit(" \t\r\n﻿")).alias("raw"))
+    files = raw.select(stem.alias("source_id"), "path", F.btrim(F.make_valid_utf8(F.col("content").cast("string")), F.lit(" \t\r\n﻿")).alias("raw"))
     return files.where("raw <> ''"), files.where("raw = ''").select("source_id", "path", F.lit("the file is empty").alias("reason"))
 
 

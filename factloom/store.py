@@ -116,7 +116,7 @@ def section(body, heading: str):
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """project, feature, user_story, established_facts, open_questions, change_log of Markdown documents in project folders."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(path).select("*", "_metadata.file_path")
+    raw = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(path, wholetext=True).select("*", "_metadata.file_path")
     v = F.col("value")
     return raw.select(
         F.element_at(F.split("file_path", "/"), -2).alias("project"), F.btrim(F.regexp_extract(v, r"^# ([^\n]*)", 1)).alias("feature"),
