@@ -34,7 +34,7 @@ _COMMON_WORDS = {"will", "bill", "mark", "art", "dot", "don", "pat", "rich", "su
 _EMAIL = re.compile(
     r"(?<![\w.+-])[\w][\w.+-]*(?:@|\s?[\[(]at[\])]\s?|\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s?[\[(]dot[\])]\s?)[a-z]{2,}\b))[\w-]+(?:(?:\.|\s?[\[(]dot[\])]\s?|\s+dot\s+)[\w-]+)*(?:\.|\s?[\[(]dot[\])]\s?|\s+dot\s+)[a-z]{2,24}(?![\w-])", re.I
 )
-_NUMBER = re.compile(r"(?<![\w.+/-])(?:[A-Za-z]{2}(?=\s?\d))?[+(]?\d[\d().\s-]*\d(?:-[Kk]|\s?[A-Da-d](?!\w))?(?![\w]|[.-]\d)")
+_NUMBER = re.compile(r"(?<![\w.+/-])(?:[A-Za-z]{2}(?=\d)|[A-Za-z]{2}\s(?=\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d]\b))?[+(]?\d[\d().\s-]*\d(?:-[Kk]|\s?[A-Da-d](?!\w))?(?![\w]|[.-]\d)")
 _ID_FORMS = [re.compile(p, re.I) for p in (
     r"\d{3}-\d{2}-\d{4}", r"\d{6}-\d{4}", r"\d{1,2}\.\d{3}\.\d{3}-[\dK]", r"[A-Z]{2}\d{7}", r"[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]", r"[A-Z]{2}\d{2}(?:\s?\d{4}){3,7}(?:\s?\d{1,4})?",
 )]
@@ -60,6 +60,24 @@ _BLANK_DIGIT = re.compile(r"\s\d")
 _LONG_NUMBER = re.compile(r"\d[\d().\s-]{4,}\d")
 
 
+# the same forms inside a longer run of digits and marks ("... 0115. 14 boxes", "... 0115 a trainee")
+_INSIDE = [(kind, re.compile(rf"(?<![\w.-])(?:{p.pattern})(?![\w]|[.-]\d)", p.flags)) for kind, forms in (("id_number", _ID_FORMS), ("phone", _PHONE_FORMS)) for p in forms]
+
+
+def _number_in(raw: str) -> tuple[str, int, int] | None:
+    """(kind, start, end) of the valid number that a run of digits and separators is or holds."""
+    if sum(c.isdigit() for c in raw) < 6:
+        return None
+    for kind, forms in (("id_number", _ID_FORMS), ("phone", _PHONE_FORMS)):
+        if any(p.fullmatch(raw) for p in forms) and (kind == "id_number" or 9 <= sum(c.isdigit() for c in raw) <= 15):
+            return kind, 0, len(raw)
+    for kind, p in _INSIDE:
+        for m in p.finditer(raw):
+            if kind == "id_number" or 9 <= sum(c.isdigit() for c in m.group()) <= 15:
+                return kind, m.start(), m.start() + len(m.group().rstrip(" .-"))
+    return None
+
+
 def _may_hold_address(text: str, words: set[str]) -> bool:
     if not words.isdisjoint(_STREET_SET):
         return True
@@ -163,16 +181,8 @@ class Detector:
         if "@" in low or "at" in words and ("dot" in words or "(at)" in low or "[at]" in low):
             spans += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
         for m in _NUMBER.finditer(text) if _LONG_NUMBER.search(text) else ():
-            raw = m.group().strip()
-            if sum(c.isdigit() for c in raw) < 6:
-                continue
-            start = m.start()
-            if any(p.fullmatch(raw) for p in _ID_FORMS):
-                spans.append(("id_number", start, start + len(raw)))
-                continue
-            plus = raw.lstrip("(")
-            if any(p.fullmatch(raw) or p.fullmatch(plus) for p in _PHONE_FORMS) and 9 <= sum(c.isdigit() for c in raw) <= 15:
-                spans.append(("phone", start, start + len(raw)))
+            if (hit := _number_in(m.group())) is not None:
+                spans.append((hit[0], m.start() + hit[1], m.start() + hit[2]))
         if not words.isdisjoint(_SPOKEN_SET):
             spans += [("phone", m.start(), m.end()) for m in _SPOKEN.finditer(text)]
         if _may_hold_address(text, words):
