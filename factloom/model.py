@@ -72,6 +72,11 @@ def parse_verdict(reply: str, active: list[Row]) -> Verdict:
     return Verdict("UNCLEAR", None, v.reason) if v.verdict == "CHANGE" and v.target is None else checked(v, active)
 
 
+def strip_thinking(reply: str) -> str:
+    """A reply without its thinking; what follows a dangling closing tag is the reply."""
+    return re.sub(r"(?is)<think>.*?</think>", "", reply).rpartition("</think>")[2].strip()
+
+
 def parse_blocks(reply: str, marker: str, labels: list[str]) -> list[dict]:
     """Blocks after each marker up to the next heading; the first value of each label counts, all labels are required."""
     out = []

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.functions import text as X
 from factloom.operators import classify as C
+from factloom.runtime import checkpoint
 
 
 @dataclass
@@ -188,13 +189,14 @@ _STATEMENT_COLUMNS = ["project", "feature", "seq", "kind", "summary", "quote", "
 _FACT_COLUMNS = ["project", "feature", "ef_id", "superseded_by", "summary", "quote", "speaker", "ts", "source_id", "call_date", *FEATURES]
 
 
-def fold_events(statements: DataFrame, facts: DataFrame, verdict_of: Callable[[Row, list[Row]], Verdict], config=None) -> DataFrame:
+def fold_events(statements: DataFrame, facts: DataFrame, verdict_of: Callable[[Row, list[Row]], Verdict], asked: DataFrame | None = None) -> DataFrame:
     """Events (schema EVENTS) of statements folded into the recorded facts of their (project, feature).
 
     statements: project, feature, seq (orders them within the area), kind, summary, quote, speaker, ts, source_id,
     call_date, verified. Statements without area or project are left out. Facts and statements of one area are
     sequential by nature; repeated quotes, which a hot area has most of, are taken out by joins before the fold:
-    of equal quotes in an area only the first reaches it, the others are restated.
+    of equal quotes in an area only the first reaches it, the others are restated. ``asked``(project, quote) are
+    questions on record anywhere in the project: those of 20 characters or more are not asked again.
     """
     s = statements.where("project is not null and feature is not null and quote is not null")
     s = s.withColumn("summary", F.when(F.col("kind") == "question", F.col("summary")).otherwise(X.repair_summary(F.col("summary"), F.col("quote"))))
@@ -204,12 +206,19 @@ def fold_events(statements: DataFrame, facts: DataFrame, verdict_of: Callable[[R
     firsts = s.where(plain).groupBy("project", "feature", "norm").agg(F.min("seq").alias("first"))
     recorded = f.select("project", "feature", "norm").distinct().withColumn("known", F.lit(True))
     marked = s.join(firsts, ["project", "feature", "norm"], "left").join(recorded, ["project", "feature", "norm"], "left")
+    marked = checkpoint(marked)  # read by every branch below
     repeated = plain & (F.coalesce("known", F.lit(False)) | (F.col("seq") > F.col("first")))
     again = marked.where(repeated).select(
         "project", "feature", F.col("seq"), F.lit("restated").alias("event_type"), F.lit(None).cast("int").alias("ef_id"), F.lit(None).cast("int").alias("other_ef_id"), "kind", "summary", "quote", "speaker", "ts", "source_id", "call_date",
         F.lit("the quote is recorded").alias("reason"), F.lit(None).cast("string").alias("was_quote"), F.lit(None).cast("string").alias("now_quote"), F.lit(False).alias("adds_fact"),
     )
     todo = marked.where(~repeated).select(*_STATEMENT_COLUMNS)
+    if asked is not None:
+        on_record = asked.select("project", X.normalise(F.col("quote")).alias("norm")).where(F.length("norm") >= 20).distinct()
+        known = todo.where("kind = 'question'").join(on_record, ["project", "norm"], "left_semi")
+        again = again.unionByName(known.select(*[c for c in again.columns if c in known.columns], F.lit("asked_again").alias("event_type"), F.lit("the question is recorded").alias("reason")), allowMissingColumns=True)
+        again = again.withColumn("adds_fact", F.coalesce("adds_fact", F.lit(False)))
+        todo = todo.where("kind <> 'question'").unionByName(todo.where("kind = 'question'").join(on_record, ["project", "norm"], "left_anti").select(*_STATEMENT_COLUMNS))
     schema = schemas._schema(schemas.EVENTS)
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

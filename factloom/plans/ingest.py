@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import store
 from factloom.config import CONFIG, Config
 from factloom.functions import text as X
-from factloom.model import RuleModel, TextModel
+from factloom.model import RuleModel, TextModel, parse_statements, strip_thinking
 from factloom.operators import classify as C
 from factloom.operators import crossdoc, fold, ground, naming
 from factloom.runtime import checkpoint
@@ -24,6 +27,40 @@ def extract_by_rules(turns: DataFrame) -> DataFrame:
     )
 
 
+def needs_coverage(chunks: DataFrame, has_facts: bool, shortest_chunk: int = 400, short_call: int = 1500) -> DataFrame:
+    """Chunks worth a second extraction: longer ones, of a first call or of a follow-up that isn't short."""
+    size = chunks.groupBy("source_id").agg(F.sum(F.length("text")).alias("_n"))
+    out = chunks.where(F.length("text") > shortest_chunk).join(size, "source_id")
+    return (out.where(F.col("_n") >= short_call) if has_facts else out).drop("_n")
+
+
+def call_model(chunks: DataFrame, chat: Callable[[str, str], str], system: str, coverage: bool = False) -> DataFrame:
+    """source_id, part_no, prompt, reply: the audit table of model calls; write it to a table before it is used.
+
+    The chunks of a call are sent one after another, as each prompt names the areas found so far; calls run in parallel.
+    """
+    lead = "List what the earlier pass may have missed. " if coverage else ""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        areas, rows = [], []
+        for r in pdf.sort_values("part_no").itertuples():
+            prompt = f"{lead}Known areas: {', '.join(areas) or 'none'}\n\n{r.text}"
+            reply = chat(system, prompt)
+            areas += [b["feature"] for b in parse_statements(strip_thinking(reply)) if b["feature"] not in areas]
+            rows.append((r.source_id, r.part_no, prompt, reply))
+        return pd.DataFrame(rows, columns=["source_id", "part_no", "prompt", "reply"])
+
+    return chunks.select("source_id", "part_no", "text").groupBy("source_id").applyInPandas(run, "source_id string, part_no int, prompt string, reply string")
+
+
+def statements_from_replies(calls: DataFrame, from_coverage: bool = False) -> DataFrame:
+    """Statements of model replies, in order; blocks that lack a label are dropped."""
+    parsed = F.udf(lambda reply: [(b["kind"], b["feature"], b["summary"], b["quote"], b["speaker"], b["timestamp"]) for b in parse_statements(reply or "")], "array<struct<kind:string,feature:string,summary:string,quote:string,speaker:string,ts:string>>")
+    rows = calls.select("source_id", "part_no", F.posexplode(parsed(X.strip_thinking(F.col("reply")))).alias("n", "b"))
+    late = 500 if from_coverage else 0
+    return rows.select("source_id", (F.col("part_no").cast("long") * 1000 + F.col("n") + late).alias("seq"), "b.*", F.lit(from_coverage).alias("from_coverage"))
+
+
 def statements_of(turns: DataFrame, extracted: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Extracted statements through the pipeline: filter, reclassify, ground, drop, dedup, sweep, drop answered ones."""
     s = C.reclassify(C.drop_chatter(extracted))
@@ -45,7 +82,8 @@ def ingest(spark: SparkSession, turns: DataFrame, calls: DataFrame, root: str, m
     areas are routed onto the project's existing ones. Running it again with the same calls adds no facts.
     """
     facts = store.load(spark, root, "facts")
-    s = statements_of(turns, extracted if extracted is not None else extract_by_rules(turns), config).join(calls.select("source_id", "project", "call_date").dropDuplicates(["source_id"]), "source_id")
+    s = statements_of(turns, extracted if extracted is not None else extract_by_rules(turns), config)
+    s = checkpoint(s.join(calls.select("source_id", "project", "call_date").dropDuplicates(["source_id"]), "source_id"))
     known = facts.groupBy("feature").agg(F.min("ef_id").alias("o")).withColumn("o", F.col("feature"))
     routed = naming.route_names(s.where("feature <> ''"), "feature", known, "feature", "o", config).select("feature", "routed")
     s = s.join(routed, "feature", "left").withColumn("feature", F.coalesce("routed", "feature")).drop("routed")
@@ -57,8 +95,8 @@ def ingest(spark: SparkSession, turns: DataFrame, calls: DataFrame, root: str, m
     hosts = crossdoc_hosts(homeless, facts, s)
     s = s.where("feature <> ''").unionByName(homeless.drop("feature").join(hosts, "key").select(*s.columns))
     verdict = (model or RuleModel()).verdict
-    events = checkpoint(fold.fold_events(s, facts, verdict))
     log = store.load(spark, root, "events")
+    events = checkpoint(fold.fold_events(s, facts, verdict, log.where("event_type = 'question'").select("project", "quote")))
     store.save(spark, root, {"facts": fold.facts_after(facts, events), "events": log.unionByName(events)})
     return events
 
@@ -71,6 +109,8 @@ def crossdoc_hosts(questions: DataFrame, facts: DataFrame, statements: DataFrame
 
 
 def views(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """facts, active, stories, open items, change log and counters of the store."""
+    """facts, active, stories, open items, change log and counters of the store, and the passes over all facts."""
     facts, events = store.load(spark, root, "facts"), store.load(spark, root, "events")
-    return {"facts": facts, "active": crossdoc.active_facts(facts), "stories": crossdoc.story(facts), "open_items": fold.open_items(events), "change_log": fold.change_log(events), "counters": fold.run_counters(events)}
+    questions = events.where("event_type = 'question'").withColumn("key", F.concat_ws("#", "project", "feature", "source_id", F.col("seq").cast("string")))
+    passes = {"resolved": crossdoc.resolve_questions(questions, "key", facts), "contradictions": crossdoc.contradictions(facts)}
+    return passes | {"facts": facts, "active": crossdoc.active_facts(facts), "stories": crossdoc.story(facts), "open_items": fold.open_items(events), "change_log": fold.change_log(events), "counters": fold.run_counters(events)}

@@ -86,6 +86,21 @@ def test_score_and_top(spark):
     assert [(r.q, r.d, r.overlap) for r in got] == [(1, "k1#3", 2), (1, "k2#1", 2), (1, "k3#2", 2)]
 
 
+def test_model_calls(spark):
+    from factloom.plans import ingest as I
+
+    def chat(system, prompt):
+        known = prompt.split("\n")[0]
+        return f"<think>x</think>## STATEMENT\nFeature: A{len(known)}\nSummary: s\nQuote: q\nSpeaker: x\nTimestamp: t\n\n## STATEMENT\nFeature: B"
+
+    chunks = spark.createDataFrame([("k", 2, "y" * 500), ("k", 1, "x" * 500), ("z", 1, "short")], "source_id string, part_no int, text string")
+    calls = I.call_model(chunks, chat, "system").cache()
+    assert calls.count() == 3 and "Known areas: none" in calls.where("part_no = 1").first().prompt and "A17" in calls.where("part_no = 2").first().prompt
+    s = I.statements_from_replies(calls).orderBy("source_id", "seq").collect()
+    assert [(r.source_id, r.seq, r.kind, r.quote) for r in s] == [("k", 1000, "fact", "q"), ("k", 2000, "fact", "q"), ("z", 1000, "fact", "q")]
+    assert I.needs_coverage(chunks, False).count() == 2 and I.needs_coverage(chunks, True).count() == 0
+
+
 def test_ingest_cli_stream(spark, tmp_path):
     turns = spark.createDataFrame(TURNS, SCHEMA)
     calls = spark.createDataFrame([(k, "p", datetime.date(2024, 1, n)) for n, k in enumerate(("k1", "k2", "k3", "k0"), 1)], "source_id string, project string, call_date date")
@@ -96,8 +111,9 @@ def test_ingest_cli_stream(spark, tmp_path):
     n = v["facts"].count()
     assert n > 3 and v["active"].count() <= n and v["change_log"].count() > 0
     assert K.grounding_score(v["facts"], turns).first().passed  # no citation, no fact
-    ingest(spark, turns, calls, root)
+    again = ingest(spark, turns, calls, root)
     assert store.load(spark, root, "facts").count() == n  # again: nothing new
+    assert again.where("event_type = 'question'").count() == 0 and v["resolved"].count() >= 0 and v["contradictions"].count() >= 0
     assert cli.features(spark, root).count() > 0 and cli.ask(spark, root, "refund manager").count() > 0
     names = [r.feature for r in cli.features(spark, root).collect()]
     assert cli.show(spark, root, names[0][:4].lower()).count() > 0

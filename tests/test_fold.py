@@ -3,6 +3,7 @@ import pytest
 from factloom.model import ReplayModel, RuleModel, explain_error, join_stream, parse_areas, parse_gaps, parse_merges, parse_statements, parse_verdict, with_retries
 from factloom.operators import fold as D
 from factloom.operators.fold import Row, Verdict
+from factloom.runtime import checkpoint
 
 W = frozenset
 
@@ -77,10 +78,10 @@ def test_fold_in_spark(spark):
         "project string, feature string, seq bigint, kind string, summary string, quote string, speaker string, ts string, source_id string, call_date date, verified boolean",
     )
     facts = spark.createDataFrame([], "project string, feature string, ef_id int, superseded_by int, summary string, quote string, speaker string, ts string, source_id string, call_date date")
-    events = D.fold_events(s, facts, RuleModel().verdict)
+    events = checkpoint(D.fold_events(s, facts, RuleModel().verdict))
     got = [(r.event_type, r.ef_id, r.other_ef_id) for r in events.orderBy("seq").collect()]
     assert got == [("new", 1, None), ("changed", 2, 1), ("new", 3, None)]
-    after = D.facts_after(facts, events)
+    after = checkpoint(D.facts_after(facts, events))
     assert {(r.ef_id, r.superseded_by) for r in after.collect()} == {(1, 2), (2, None), (3, None)}
     again = D.fold_events(s, after, RuleModel().verdict)
     assert {r.event_type for r in again.collect()} == {"restated"}  # the same call again adds no facts
