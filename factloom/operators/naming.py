@@ -9,6 +9,7 @@ from factloom import lexicon as L
 from factloom.config import CONFIG, Config
 from factloom.functions import text as X
 from factloom.operators.graph import connected_components
+from factloom.runtime import checkpoint
 
 
 def route_names(names: DataFrame, name: str, known: DataFrame, known_name: str, order: str, config: Config = CONFIG) -> DataFrame:
@@ -88,12 +89,13 @@ def cohesion_split(statements: DataFrame, area: str, row: str, summary: str, con
         comp = connected_components(pairs.select(node.alias("src"), F.concat_ws("\x01", F.lit("w"), "area", "word").alias("dst")))
         return rows.select("area", "row", "dump", "summary").withColumn("node", node).join(comp, "node", "left").select("area", "row", "dump", "summary", F.coalesce("component", "node").alias("cluster"))
 
-    first = parts(links, s)
+    first = checkpoint(parts(links, s))
     counts = first.groupBy("area", "dump").agg(F.countDistinct("cluster").alias("k"))
-    again_areas = counts.where("k < 2 and dump").select("area").join(common.select("area").distinct(), "area", "left_semi")
-    again_rows = s.join(again_areas, "area", "left_semi")
-    again = parts(links.join(again_areas, "area", "left_semi").join(common, ["area", "word"], "left_anti"), again_rows)
-    every = first.join(again_areas, "area", "left_anti").unionByName(again)
+    again_areas = checkpoint(counts.where("k < 2 and dump").select("area").join(common.select("area").distinct(), "area", "left_semi"))
+    every = first
+    if not again_areas.isEmpty():
+        again = parts(links.join(again_areas, "area", "left_semi").join(common, ["area", "word"], "left_anti"), s.join(again_areas, "area", "left_semi"))
+        every = checkpoint(first.join(again_areas, "area", "left_anti").unionByName(again))
     sizes = every.groupBy("area", "dump", "cluster").agg(F.count("*").alias("m")).groupBy("area", "dump").agg(F.count("*").alias("k"), F.count_if(F.col("m") >= 2).alias("real"))
     split = sizes.where((F.col("k") >= 2) & (F.col("dump") | (F.col("real") >= 2))).select("area")
     every = every.join(split, "area", "left_semi")
