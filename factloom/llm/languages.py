@@ -204,11 +204,12 @@ def sample_labelled(docs: DataFrame, text: str, lang: str, doc_id: str, per_lang
     """About ``per_language`` documents of each stated language, picked by a hash of their id: a bounded sample."""
     known = docs.select(F.col(text).alias("text"), normal_language(F.col(lang)).alias("code"), F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)).alias("pick"))
     known = known.where(F.col("code").isin(*LANGUAGES) & (F.length("text") > 20))
-    rows = []
-    for code, n in sorted((r[0], r[1]) for r in known.groupBy("code").count().collect()):
-        share = min(1_000_000, int(1_000_000 * per_language / n) + 1)
-        rows += [(r[0], code) for r in known.where((F.col("code") == code) & (F.col("pick") < share)).select(F.substring("text", 1, 4000)).limit(2 * per_language).collect()]
-    return rows
+    share = {r[0]: min(1_000_000, int(1_000_000 * per_language / r[1]) + 1) for r in known.groupBy("code").count().collect()}
+    if not share:
+        return []
+    limit = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])
+    picked = known.where(F.col("pick") < F.try_element_at(limit, F.col("code"))).select("text", "code")
+    return [tuple(r) for r in picked.limit(2 * per_language * len(share)).collect()]
 
 
 SENTENCES = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("n_words", T.IntegerType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]))
