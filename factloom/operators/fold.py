@@ -1,7 +1,7 @@
 """The reconcile state machine: statements of one feature area folded into its versioned facts, in order.
 
 Everything that concerns one row alone (normal forms, word sets, numbers, wording tests, repaired summaries)
-is computed by column expressions beforehand, and what needs no state (repeated quotes) is resolved by joins;
+is computed by column expressions beforehand, and what needs no state (quotes on record) is resolved by joins;
 the fold itself is a pure function over small records. It emits events only; facts, open items, the change
 log and counters are projections of the events.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -185,44 +185,57 @@ def _rows(pdf: pd.DataFrame, seq: str) -> list[Row]:
     return out
 
 
-_STATEMENT_COLUMNS = ["project", "feature", "seq", "kind", "summary", "quote", "speaker", "ts", "source_id", "call_date", "verified", *FEATURES]
+_PLACE = ["seq", "speaker", "ts", "source_id", "call_date"]
 _FACT_COLUMNS = ["project", "feature", "ef_id", "superseded_by", "summary", "quote", "speaker", "ts", "source_id", "call_date", *FEATURES]
 
 
+def _each(wordings: DataFrame, event: str, reason: str) -> DataFrame:
+    """An event without fact for each place of the wordings."""
+    each = wordings.select("project", "feature", "kind", "summary", "quote", F.explode("places").alias("p")).select("*", "p.*")
+    set_ = {"event_type": F.lit(event), "ef_id": F.lit(None).cast("int"), "other_ef_id": F.lit(None).cast("int"), "reason": F.lit(reason), "was_quote": F.lit(None).cast("string"), "now_quote": F.lit(None).cast("string"), "adds_fact": F.lit(False)}
+    return each.withColumns(set_).select(*schemas._schema(schemas.EVENTS).names)
+
+
+def _spread(pdf: pd.DataFrame) -> list[Row]:
+    """The statements of wordings; those of one wording share its features."""
+    one = pdf.drop(columns="places").assign(source_id=None, speaker=None, ts=None, call_date=None)
+    out = []
+    for r, places in zip(_rows(one, "seq"), pdf["places"]):
+        out += [replace(r, seq=int(p["seq"] or 0), speaker=p["speaker"], ts=p["ts"], source_id=p["source_id"], call_date=p["call_date"]) for p in places]
+    return out
+
+
 def fold_events(statements: DataFrame, facts: DataFrame, verdict_of: Callable[[Row, list[Row]], Verdict], asked: DataFrame | None = None) -> DataFrame:
     """Events (schema EVENTS) of statements folded into the recorded facts of their (project, feature).
 
     statements: project, feature, seq (orders them within the area), kind, summary, quote, speaker, ts, source_id,
-    call_date, verified. Statements without area or project are left out. Facts and statements of one area are
-    sequential by nature; repeated quotes, which a hot area has most of, are taken out by joins before the fold:
-    of equal quotes in an area only the first reaches it, the others are restated. ``asked``(project, quote) are
-    questions on record anywhere in the project: those of 20 characters or more are not asked again.
+    call_date, verified. Statements without area or project are left out; a missing kind is a fact, a missing
+    verified is unverified. Facts and statements of one area are sequential by nature. Quotes of recorded facts
+    are restated whatever comes, so they are taken out by a join before the fold. Whether another repetition is
+    restated depends on what became of those before it, so the fold takes it; equal wordings reach it as one
+    record with the list of their places. ``asked``(project, quote) are questions on record anywhere in the
+    project: those of 20 characters or more are not asked again.
     """
     s = statements.where("project is not null and feature is not null and quote is not null")
+    s = s.withColumns({"kind": F.coalesce("kind", F.lit("fact")), "verified": F.coalesce("verified", F.lit(False))})
     s = s.withColumn("summary", F.when(F.col("kind") == "question", F.col("summary")).otherwise(X.repair_summary(F.col("summary"), F.col("quote"))))
-    s = with_features(s).select(*_STATEMENT_COLUMNS)
+    s = s.groupBy("project", "feature", "kind", "verified", "summary", "quote").agg(F.collect_list(F.struct(*_PLACE)).alias("places"))
+    s = with_features(s)
     f = with_features(facts.where("project is not null and feature is not null")).select(*_FACT_COLUMNS)
-    plain = (F.col("kind") != "question") & F.col("verified")
-    firsts = s.where(plain).groupBy("project", "feature", "norm").agg(F.min("seq").alias("first"))
     recorded = f.select("project", "feature", "norm").distinct().withColumn("known", F.lit(True))
-    marked = s.join(firsts, ["project", "feature", "norm"], "left").join(recorded, ["project", "feature", "norm"], "left")
-    marked = checkpoint(marked)  # read by every branch below
-    repeated = plain & (F.coalesce("known", F.lit(False)) | (F.col("seq") > F.col("first")))
-    again = marked.where(repeated).select(
-        "project", "feature", F.col("seq"), F.lit("restated").alias("event_type"), F.lit(None).cast("int").alias("ef_id"), F.lit(None).cast("int").alias("other_ef_id"), "kind", "summary", "quote", "speaker", "ts", "source_id", "call_date",
-        F.lit("the quote is recorded").alias("reason"), F.lit(None).cast("string").alias("was_quote"), F.lit(None).cast("string").alias("now_quote"), F.lit(False).alias("adds_fact"),
-    )
-    todo = marked.where(~repeated).select(*_STATEMENT_COLUMNS)
+    marked = checkpoint(s.join(recorded, ["project", "feature", "norm"], "left"))  # read by every branch below
+    repeated = (F.col("kind") != "question") & F.col("verified") & F.coalesce("known", F.lit(False))
+    again = _each(marked.where(repeated), "restated", "the quote is recorded")
+    todo = marked.where(~repeated).drop("known")
     if asked is not None:
         on_record = asked.select("project", X.normalise(F.col("quote")).alias("norm")).where(F.length("norm") >= 20).distinct()
-        known = todo.where("kind = 'question'").join(on_record, ["project", "norm"], "left_semi")
-        again = again.unionByName(known.select(*[c for c in again.columns if c in known.columns], F.lit("asked_again").alias("event_type"), F.lit("the question is recorded").alias("reason")), allowMissingColumns=True)
-        again = again.withColumn("adds_fact", F.coalesce("adds_fact", F.lit(False)))
-        todo = todo.where("kind <> 'question'").unionByName(todo.where("kind = 'question'").join(on_record, ["project", "norm"], "left_anti").select(*_STATEMENT_COLUMNS))
+        questions = todo.where("kind = 'question'")
+        again = again.unionByName(_each(questions.join(on_record, ["project", "norm"], "left_semi"), "asked_again", "the question is recorded"))
+        todo = todo.where("kind <> 'question'").unionByName(questions.join(on_record, ["project", "norm"], "left_anti").select(*todo.columns))
     schema = schemas._schema(schemas.EVENTS)
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        stmts = _rows(left, "seq")
+        stmts = _spread(left)
         events = fold(_rows(right, "ef_id"), stmts, verdict_of)
         order = sorted(s.seq for s in stmts)
         out = pd.DataFrame(events, columns=[c for c in schema.names if c not in ("project", "feature")])

@@ -119,3 +119,26 @@ def test_retries():
     assert with_retries(flaky, sleep=waits.append) == "ok" and waits == [4.0, 8.0]
     with pytest.raises(OSError):
         with_retries(lambda: (_ for _ in ()).throw(OSError("bad request")), sleep=waits.append)
+
+
+def test_fold_in_spark_equals_the_ledger_on_repeats_and_nulls(spark):
+    import random
+
+    rng = random.Random(5)
+    quotes = ["The export stays as it is", "Export keeps thirty days", "Export keeps ninety days of invoices", "Refunds stay the same as before", "Refunds within 24 hours", "Vouchers need a manager"]
+    rows = [
+        ("p", rng.choice(["A", "B", "C"]), i, rng.choice(["fact", "fact", "fact", None, "question"]), rng.choice([None, "Export rule"]), rng.choice(quotes), None, None, f"k{i // 40}", None, rng.choice([True, True, True, None, False]))
+        for i in range(240)
+    ]
+    s = spark.createDataFrame(rows, "project string, feature string, seq bigint, kind string, summary string, quote string, speaker string, ts string, source_id string, call_date date, verified boolean")
+    facts = spark.createDataFrame([("p", "C", 1, None, "x", "Vouchers need a manager", None, None, "k", None)], "project string, feature string, ef_id int, superseded_by int, summary string, quote string, speaker string, ts string, source_id string, call_date date")
+    for verdict in (lambda s, a: Verdict("UNCLEAR"), RuleModel().verdict):
+        got = {(r.feature, r.seq): (r.event_type, r.ef_id, r.other_ef_id) for r in D.fold_events(s, facts, verdict).collect()}
+        feats = D.with_features(s.withColumn("summary", D.F.when(D.F.col("kind") == "question", D.F.col("summary")).otherwise(D.X.repair_summary(D.F.col("summary"), D.F.col("quote"))))).toPandas()
+        old = D.with_features(facts).toPandas()
+        want = {}
+        for area in ("A", "B", "C"):
+            stmts = D._rows(feats[feats.feature == area], "seq")
+            events = D.fold(D._rows(old[old.feature == area], "seq"), stmts, verdict)
+            want |= {(area, q.seq): (e["event_type"], e["ef_id"], e["other_ef_id"]) for q, e in zip(sorted(stmts, key=lambda q: q.seq), events)}
+        assert len(got) == len(rows) and got == want
