@@ -90,25 +90,27 @@ class Tables:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact edit distances of the rows of two arrays of equal shape, all at once."""
+def edit_distance(a: np.ndarray, b: np.ndarray, slack: int = 0) -> np.ndarray:
+    """Exact edit distances of the rows of two arrays, all at once; with ``slack`` the smallest one to the first
+    w - slack to w + slack words of the row of ``b``, where w is the number of columns of ``a``."""
     n, w = a.shape
-    prev = np.tile(np.arange(w + 1), (n, 1))
+    prev = np.tile(np.arange(b.shape[1] + 1), (n, 1))
     for i in range(1, w + 1):
         row = np.empty_like(prev)
         row[:, 0] = i
-        for j in range(1, w + 1):
+        for j in range(1, b.shape[1] + 1):
             row[:, j] = np.minimum(np.minimum(prev[:, j], row[:, j - 1]) + 1, prev[:, j - 1] + (a[:, i - 1] != b[:, j - 1]))
         prev = row
-    return prev[:, -1]
+    return prev[:, w - slack :].min(axis=1)
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 12, max_edits: int = 1, repeats: int = 8, bits: int = 6, seed: int = 7) -> DataFrame:
     """(doc_id, item_id, edits, n_windows): documents that hold a passage of ``window`` words of an item, up to ``max_edits``.
 
-    edits is the smallest edit distance (in words) of any of its windows to one of the item, n_windows how many
-    windows reach it. Equal windows are always found; ``repeats`` and ``bits`` set the recall of the others (see
-    the tests: at least 0.9 at one edit). Items shorter than the window and null or empty texts match nothing;
+    edits is the smallest edit distance (in words) of any of its passages to a window of the item, n_windows how many
+    places reach it. A passage may be longer or shorter than the window by the words added or dropped. Equal windows
+    are always found; ``repeats`` and ``bits`` set the recall of the others (see the tests: at least 0.9 at one edit,
+    be it a word replaced, added or dropped). Items shorter than the window and null or empty texts match nothing;
     repeated documents count once per (doc_id, item_id).
     """
     table = Tables([(r[0], r[1]) for r in bounded(items.select(item_id, item_text).where(F.col(item_id).isNotNull()).distinct(), MOST_ITEMS, "the list of items")], window, repeats, bits, seed)
@@ -118,18 +120,20 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
         get = t.vocabulary.get
+        longest = window + max_edits
+        end = np.full(longest, t.other + 1, np.int32)
         for batch in batches:
             codes = [np.fromiter((get(w, t.other) for w in words_of(x)), np.int32) for x in batch["text"]]
             sizes = np.array([len(c) for c in codes], np.int64)
             if not len(t.rows) or not sizes.sum():
                 continue
-            flat = np.concatenate(codes)
+            # the end of a text is padded, so that a passage shorter than the window can stand there
+            sizes += longest
+            flat = np.concatenate([x for c in codes for x in (c, end)])
             owner = np.repeat(np.arange(len(codes)), sizes)
-            start = np.arange(len(flat) - window + 1)
-            if len(start) <= 0:
-                continue
-            known = np.concatenate([[0], np.cumsum(flat != t.other)])
-            good = start[(owner[start] == owner[start + window - 1]) & (known[start + window] - known[start] >= window - max_edits)]
+            start = np.arange(len(flat) - longest + 1)
+            known = np.concatenate([[0], np.cumsum(flat < t.other)])
+            good = start[known[start + window] - known[start] >= window - max_edits]
             if not len(good):
                 continue
             rows = flat[good[:, None] + np.arange(window)]
@@ -140,7 +144,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                 d = np.where((a == b).all(axis=1), 0, 1 + max_edits)
                 rest = np.flatnonzero(d) if max_edits else []
                 if len(rest):
-                    d[rest] = edit_distance(a[rest], b[rest])
+                    d[rest] = edit_distance(b[rest], flat[good[pairs[rest, 0]][:, None] + np.arange(longest)], max_edits)
                 keep = d <= max_edits
                 pairs, d = pairs[keep], d[keep]
             at = good[pairs[:, 0]]

@@ -119,3 +119,20 @@ def test_accuracy_on_the_test_table(spark, data):
     f = languages.document_languages(docs, "doc_id", "text", "lang", crf).where("n_whole > 0 and stated <> ''")
     agree = f.groupBy("doc_id").agg(F.max((F.col("lang") == F.col("stated")).cast("int")).alias("ok")).agg(F.avg("ok")).first()[0]
     assert agree >= 0.88  # some labels of the table are wrong by design
+
+
+def test_leaks_with_a_word_replaced_added_or_dropped(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(60))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(13, 16)))) for i in range(300)]
+    docs = []
+    for i, text in items:
+        for kind in range(3):
+            w, p = text.split()[:12], rng.randrange(2, 10)  # no 11 words in a row stay intact
+            w = [w[:p] + ["else"] + w[p + 1 :], w[:p] + ["else"] + w[p:], w[:p] + w[p + 1 :]][kind]
+            tail = [["zz", "yy"], []][i % 2]  # every other passage ends its text
+            docs.append((i * 3 + kind, " ".join(["aa", "bb", *w, *tail])))
+    got = {(r.d, r.item_id): r.edits for r in leaks.leaks(spark.createDataFrame(docs, "d int, t string"), "d", "t", spark.createDataFrame(items, "i bigint, t string"), "i", "t").withColumnRenamed("doc_id", "d").collect()}
+    recall = [np.mean([got.get((i * 3 + kind, i)) == 1 for i in range(300)]) for kind in range(3)]
+    print("recall of a word replaced, added, dropped:", recall)
+    assert min(recall) >= 0.9 and set(got.values()) == {1}
