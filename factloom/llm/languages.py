@@ -41,6 +41,7 @@ LANGUAGE_NAMES = {
 }
 MISSING = ("", "und", "xx", "zxx", "mul", "unk", "unknown", "none", "null", "n/a", "na", "?", "-")
 DIMENSIONS = 1 << 15
+MOST_WORDS = 500_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE_END = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*\s+|\s*[\r\n]+\s*)")
@@ -88,10 +89,13 @@ class Crf:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def types(self, words: list[str]) -> np.ndarray:
-        """Row numbers of words in ``rows``, where their emission scores are kept while a worker lives."""
-        if len(self.seen) > 500_000:
+    def forget(self) -> None:
+        """Drops the kept scores if they are many; row numbers given before hold no longer."""
+        if len(self.seen) > MOST_WORDS:
             self.seen.clear()
+
+    def types(self, words: list[str]) -> np.ndarray:
+        """Row numbers of words in ``rows``, where their emission scores are kept until ``forget``."""
         seen = self.seen
         out = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
@@ -217,6 +221,7 @@ SENTENCES = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.S
 
 def label_texts(crf: Crf, texts: list[str | None], batch: int = 256) -> list[list[tuple]]:
     """For each text its sentences as (language, confidence, words, start, end), positions 1-based inclusive."""
+    crf.forget()  # only here: the row numbers must hold until the texts are scored
     prepared = []
     for text in texts:
         spans, words, cut = [], [], 0

@@ -136,3 +136,16 @@ def test_leaks_with_a_word_replaced_added_or_dropped(spark):
     recall = [np.mean([got.get((i * 3 + kind, i)) == 1 for i in range(300)]) for kind in range(3)]
     print("recall of a word replaced, added, dropped:", recall)
     assert min(recall) >= 0.9 and set(got.values()) == {1}
+
+
+def test_word_scores_hold_for_a_whole_batch(monkeypatch):
+    crf = languages.train([(" ".join([t] * 3), k) for k, t in TEXTS.items()], steps=10)
+    texts = list(TEXTS.values()) * 2
+    want = [languages.label_texts(crf, [t])[0] for t in texts]
+    monkeypatch.setattr(languages, "MOST_WORDS", 5)
+    small = languages.Crf(crf.weights, crf.trans, crf.start)
+    for _ in range(2):
+        got = languages.label_texts(small, texts)
+        assert [[s[0] for s in t] for t in got] == [[s[0] for s in t] for t in want]
+        assert np.allclose([s[1] for t in got for s in t], [s[1] for t in want for s in t])
+    assert len(small.seen) <= len({w for t in texts for w in t.split()})
