@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from factloom.config import CONFIG, Config
 from factloom.functions import text as X
+from factloom.runtime import checkpoint
 
 _TOKEN = "[a-z0-9]+"
 
@@ -96,30 +98,102 @@ def similarity(a: str, b: str) -> float:
 _similarity = F.pandas_udf(lambda a, b: pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float), T.DoubleType())
 
 
+SPANS_A_BLOCK = 4_000
+
+
+def common_letters(q: str, spans: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``q`` with each span: no sequence match has more characters.
+
+    Bit-parallel over the characters of ``q``, for all spans at once; the spans' characters are steps.
+    """
+    n, size = len(spans), -(-len(q) // 32)
+    number = {c: i + 1 for i, c in enumerate(dict.fromkeys(q))}
+    masks = np.zeros((size, len(number) + 1), np.uint64)
+    for i, c in enumerate(q):
+        masks[i // 32, number[c]] |= np.uint64(1 << (i % 32))
+    order = np.argsort([-len(s) for s in spans], kind="stable")
+    lengths = np.array([len(spans[i]) for i in order])
+    codes = np.zeros((n, int(lengths[0]) if n else 0), np.int32)
+    for row, i in enumerate(order):
+        codes[row, : lengths[row]] = [number.get(c, 0) for c in spans[i]]
+    low, bits = np.uint64(0xFFFFFFFF), np.uint64(32)
+    state = np.full((size, n), low, np.uint64)
+    for step in range(codes.shape[1]):
+        live = int(np.searchsorted(-lengths, -step, "left"))  # spans longer than step
+        carry = np.zeros(live, np.uint64)
+        for k in range(size):
+            v, m = state[k, :live], masks[k, codes[:live, step]]
+            u = v & m
+            total = v + u + carry
+            carry = total >> bits
+            state[k, :live] = ((total & low) | (v - u)) & low
+    tail = np.array([(1 << min(32, len(q) - 32 * k)) - 1 for k in range(size)], np.uint64)[:, None]
+    out = np.zeros(n, np.int64)
+    out[order] = np.bitwise_count(~state & tail).sum(axis=0)
+    return out
+
+
+def by_letters(q: DataFrame, key: str, s: DataFrame, t: float) -> DataFrame:
+    """(key, score, n, line_no, part, span): of each block of spans the best one for each quote by similarity of at least ``t``.
+
+    No number of shared q-grams follows from a character ratio of 0.66, so each quote meets all spans of its call
+    whose length allows the ratio. Blocks of a call's spans are tasks of their own, so a long call is divided. The
+    longest common subsequence bounds the ratio from above; only pairs it lets through are compared exactly.
+    """
+    per = s.groupBy("source_id").agg(F.count("*").alias("_n")).select("source_id", F.ceil(F.col("_n") / SPANS_A_BLOCK).cast("int").alias("_blocks"))
+    needed = s.join(q.select("source_id").distinct(), "source_id", "left_semi").join(per, "source_id")
+    blocks = needed.withColumn("block", F.pmod(F.xxhash64("span"), F.col("_blocks")).cast("int")).drop("_blocks")
+    asked = q.join(per, "source_id").select(key, F.col("source_id").alias("call"), "q", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+    schema = T.StructType([q.schema[key], *T._parse_datatype_string("score double, n int, line_no int, part int, span string")])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.assign(_m=-right["n"]).sort_values(["_m", "line_no", "part"], kind="stable")
+        norms = right["norm"].to_numpy()
+        sizes = np.array([len(x) for x in norms], np.int64)
+        rows = []
+        for k, text in zip(left[key], left["q"]):
+            fit = np.flatnonzero(2 * np.minimum(sizes, len(text)) >= t * (sizes + len(text)))
+            bound = 2 * common_letters(text, norms[fit].tolist()) / (sizes[fit] + len(text)) if len(fit) else np.zeros(0)
+            best, at = 0.0, -1
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < max(t, best):
+                    break
+                score = similarity(text, norms[fit[i]])
+                if score >= t and (score > best or score == best and fit[i] < at):
+                    best, at = score, fit[i]
+            if at >= 0:
+                r = right.iloc[at]
+                rows.append((k, best, r["n"], r["line_no"], r["part"], r["span"]))
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return asked.groupBy("call", "block").cogroup(blocks.groupBy("source_id", "block")).applyInPandas(run, schema)
+
+
 def snap(quotes: DataFrame, key: str, spans: DataFrame, config: Config = CONFIG) -> DataFrame:
     """(key, span, score): the most similar span of the same call for each ungrounded quote, if similar enough.
 
-    Ties go to the longer span, then to the earlier one. Candidate spans share one of the quote's words of the
-    prefix that any span of the needed word similarity must meet (rarest words first), so the word ratio is
-    searched without loss; the character ratio is computed for these candidates.
+    Ties go to the longer span, then to the earlier one. Spans similar by words share one of the words of the
+    prefix that any span of the needed word ratio must meet (rarest words first; a repeated word counts as often
+    as it stands there); spans similar by characters are met by ``by_letters``. Both lose nothing.
     """
-    q = quotes.select(key, "source_id", X.normalise(F.col("quote")).alias("q")).where("q <> ''").distinct()
-    s = spans.select("source_id", "span", "n", "line_no", "part", X.normalise(F.col("span")).alias("norm"))
-    tok = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    q = checkpoint(quotes.select(key, "source_id", X.normalise(F.col("quote")).alias("q")).where("q <> ''").distinct())
+    s = checkpoint(spans.select("source_id", "span", F.col("n").cast("int").alias("n"), F.col("line_no").cast("int").alias("line_no"), F.col("part").cast("int").alias("part"), X.normalise(F.col("span")).alias("norm")))
+    # each word with the number of its occurrence: the second "the" is another word than the first
+    plain = lambda c: F.array_sort(F.filter(F.split(c, " "), lambda w: w != ""))
+    tok = lambda c: X.let(plain(c), lambda a: F.transform(a, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(a, w) + 2).cast("string"))))
     words = s.select("source_id", "span", F.explode(tok(F.col("norm"))).alias("w"))
     freq = words.groupBy("source_id", "w").agg(F.count("*").alias("df"))
     qw = q.select(key, "source_id", "q", F.explode(tok(F.col("q"))).alias("w")).join(freq, ["source_id", "w"], "left")
     ranked = qw.groupBy(key, "source_id", "q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
     # 2 m / (a + b) >= t and m <= b give m >= t a / (2 - t); the prefix leaves out that many words but one
     share = config.snap_similarity / (2 - config.snap_similarity)
-    prefix = F.slice("ws", 1, F.greatest(F.size("ws") - F.ceil(F.size("ws") * share).cast("int") + 1, F.lit(1)))
+    prefix = F.slice("ws", 1, F.greatest(F.size("ws") - F.ceil(F.size("ws") * share - 1e-9).cast("int") + 1, F.lit(1)))
     keyed = ranked.select(key, "source_id", "q", F.explode(F.transform(prefix, lambda x: x["w"])).alias("w"))
     met = keyed.join(words, ["source_id", "w"]).select(key, "source_id", "q", "span").distinct().join(s, ["source_id", "span"])
-    la, lb = F.length("q"), F.length("norm")
     wa, wb = F.size(F.split("q", " ")), F.size(F.split("norm", " "))
     t = config.snap_similarity
-    possible = (2 * F.least(la, lb) / (la + lb) >= t) | (2 * F.least(wa, wb) / (wa + wb) >= t)
-    scored = met.where(possible).withColumn("score", _similarity("q", "norm")).where(F.col("score") >= t)
+    scored = met.where(2 * F.least(wa, wb) / (wa + wb) >= t).withColumn("score", _similarity("q", "norm")).where(F.col("score") >= t).select(key, "score", "n", "line_no", "part", "span")
+    scored = scored.unionByName(by_letters(q, key, s, t))
     best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "line_no", "part", "span")).alias("b"))
     return best.select(key, F.col("b.span").alias("span"), (-F.col("b.s")).alias("score"))
 

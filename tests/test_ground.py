@@ -68,3 +68,46 @@ def test_chatter_reclassify_unbundle_sweep(spark):
     swept = C.hedge_sweep(t, t.limit(0).select("source_id", F.col("text").alias("norm"))).collect()
     assert [(r.source_id, r.line_no, r.ts) for r in swept] == [("k1", 4, "not available")]
     assert C.hedge_sweep(t, t.select("source_id", X.normalise(F.col("text")).alias("norm"))).count() == 0
+
+
+def test_common_letters():
+    import random
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [row]  # the row before, and the one being made
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[1][j] + 1 if x == y else max(row[1][j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    for n in (1, 31, 32, 33, 64, 90):
+        q, spans = word(n), [word(rng.randrange(0, 120)) for _ in range(40)]
+        assert G.common_letters(q, spans).tolist() == [lcs(q, s) for s in spans]
+
+
+def test_snap_equals_brute_force_on_noisy_quotes(spark):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randrange(3, 9))) for _ in range(60)] + ["the", "the", "the", "of"]
+    lines = [("k", i, None, None, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(6, 16)))) for i in range(1, 60)]
+    rows = []
+    for i in range(60):
+        words = rng.choice(lines)[4].split()
+        noisy = [w[:p] + "ж" + w[p + 1 :] if rng.random() < i / 60 else w for w in words for p in [rng.randrange(len(w))]]
+        rows.append((i, "k", " ".join(noisy) + " x"))
+    t = spark.createDataFrame(lines, SCHEMA)
+    spans = [(r.span, r.n, r.line_no, r.part, r.norm) for r in G.candidate_spans(t).withColumn("norm", X.normalise(F.col("span"))).collect()]
+    norms = {r.k: r.q for r in quotes(spark, rows).select("k", X.normalise(F.col("quote")).alias("q")).collect()}
+    want = {}
+    for k, q in norms.items():
+        score, n, line, part, span = min((-G.similarity(q, norm), -n, line, part, span) for span, n, line, part, norm in spans)
+        if -score >= 0.66:
+            want[k] = (span, round(-score, 9))
+    got = {r.k: (r.span, round(r.score, 9)) for r in G.snap(quotes(spark, rows), "k", G.candidate_spans(t)).collect()}
+    assert len(want) >= 50 and got == want
