@@ -28,7 +28,8 @@ MOST_GIVEN_NAMES = 200_000
 # Spoken digits, kinds of streets, words that follow a given name without being a family name.
 SPOKEN = {"zero": "0", "oh": "0", "o": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Close|Cl|Court|Ct|Row|Way|Place|Pl|Square|Sq|Boulevard|Blvd|Terrace|Crescent|Parkway|Highway|Hill|Walk|Mews|Gardens|Grove|Alley|Quay"
-NOT_FAMILY = set("operations department team ledger gate north south east west office services group company street avenue road lane from with when will would should could must may might can cannot said says asked asks wants wanted that this they them then than have has had was were are and but for not the you your his her its our their into onto over under after before about also just like back again here there today tomorrow yesterday monday tuesday wednesday thursday friday saturday sunday please thanks thank joined left sent wrote called calls moved signed once twice will".split()) | LEGAL_FORMS
+NOT_FAMILY = set("operations department team ledger gate north south east west office services group company street avenue road lane from with when will would should could must may might can cannot said says asked asks wants wanted that this they them then than have has had was were are and but for not the you your his her its our their into onto over under after before about also just like back again here there today tomorrow yesterday monday tuesday wednesday thursday friday saturday sunday please thanks thank joined left sent wrote called calls moved signed once twice will is it in on at to of or so no ok we he me my by do go if an as am us up".split()) | LEGAL_FORMS
+PARTICLES = r"(?:[Vv][ao]n|[Dd]e[rnl]?|[Dd][aiu]|[Ll][ae]|[Tt]e[nr])[ ]+"
 _COMMON_WORDS = {"will", "bill", "mark", "art", "dot", "don", "pat", "rich", "sue", "drew", "em", "al", "jack", "cat", "fern", "val", "meg", "peg", "val", "sal", "ed", "em", "harry", "dick", "ken", "grace", "hope", "may", "june", "april", "rose", "jim", "jo", "lore", "mara", "isa", "nell", "liv", "pip", "sam", "bob", "ben", "dan", "len", "ron", "ted", "tim", "tom", "vic", "zo", "pri", "reba", "olu", "bert", "chuck", "hank", "hal", "fritz", "gabe", "penny", "frank", "chip", "kit", "kitty", "charlie", "max", "ray", "guy", "rob", "nick", "josh", "carol", "dawn", "ivy", "joy", "faith", "summer", "victor", "christian", "thea"}
 
 _EMAIL = re.compile(
@@ -142,9 +143,9 @@ class Detector:
     """Finds (kind, start, end) in a text in its consistent form; given: folded given names."""
 
     def __init__(self, given: list[str]) -> None:
-        names = {fold(g) for g in given} | set(GIVEN_NAMES) | set(NICKNAMES)
+        names = {fold(g) for g in given} | set(GIVEN_NAMES) | set(NICKNAMES) | {n for full in NICKNAMES.values() for n in full.split()}
         self.given = {n for n in names if n.isalpha() and len(n) > 1}
-        self.word_pair = re.compile(r"(?<![\w'’-])([^\W\d_]{2,})((?:[ ]+[^\W\d_]\.)*[ ]+)([^\W\d_]{3,}(?:[-'’][^\W\d_]+)*)(?![\w])")
+        self.word_pair = re.compile(r"(?<![\w'’-])([^\W\d_]{2,})((?:[ ]+[^\W\d_]\.)*[ ]+)((?:" + PARTICLES + r"){0,2})((?:[OD]['’])?[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*)(?![\w])")
         self.seen = self.given | {g.lower() for g in given}
         self.first_word = re.compile(r"(?<![\w'’@.-])[^\W\d_]{2,}(?= )")
 
@@ -158,7 +159,7 @@ class Detector:
             m = self.word_pair.match(text, w.start())
             if not m:
                 continue
-            family = m.group(3)
+            family = m.group(4)
             if fold(family) in NOT_FAMILY:
                 continue
             if g[0].isupper():

@@ -49,3 +49,11 @@ def test_in_spark(spark):
     out = [r.redacted for r in redact(df.limit(3), "text", given_).orderBy("row_no").collect()]
     assert out[0].startswith("Ｃａｌｌ [PHONE +1") and "Nadia" not in out[0] and "nо​w, [NAME " in out[0] and out[1:] == [None, ""]
     assert transducer().form("x") == "x"
+
+
+def test_names_that_no_attendee_has():
+    detector = Detector([])
+    for text, value in (("Ask for Albert Larkenko at the gate", "Albert Larkenko"), ("Mr. Albert Ng says", "Albert Ng"), ("Ask Albert O'Brien now", "Albert O'Brien"), ("for Albert van der Pell by", "Albert van der Pell"), ("Ask Albert De Witt now", "Albert De Witt")):
+        assert [(k, text[s:e]) for k, s, e in detector.find(text)] == [("name", value)], text
+    for text in ("Albert is here", "Albert de facto runs it", "Ask Albert It is late", "albert to me"):
+        assert detector.find(text) == [], text
