@@ -6,7 +6,9 @@ m - ceil(2t/(1+t) m) + L tokens. Two records of similarity t or more share at le
 prefixes, for every L up to the needed overlap. Each record chooses its own L: it lengthens its prefix,
 and so requires one more shared prefix token, as long as that lowers its estimated cost (keys sent plus
 candidates expected from the counts of its prefix tokens). "L shared tokens" is an equality join on
-L-subsets of the prefixes, so no list of a single frequent token is ever scanned.
+L-subsets of the prefixes, so no list of a single frequent token is ever scanned. The index side is priced
+too: per length class (steps of 1.1), an L is open only if it saves more than its index keys cost, and only
+records that a probe of such a class can reach are indexed for it.
 
 Candidates pass a length test and a parity-bitmap bound (both exact upper bounds of the overlap) inside
 the join; the remaining pairs are verified on the token sets.
@@ -14,16 +16,24 @@ the join; the remaining pairs are verified on the token sets.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.lookalike import consistent
 from factloom.operators.graph import connected_components
-from factloom.runtime import checkpoint
+from factloom.runtime import broadcast_if_small, checkpoint
 
 MOST_SHARED = 3
-KEY_COST = 12.0
-"""What sending one key costs, in candidates tested in the join."""
+"""Longest choice of shared tokens. The result is the same for any value; it bounds the search for the cheapest one."""
+KEY_COST = 40.0
+"""What building, sending and sorting one key costs, in candidates tested in the join (measured: 2 microseconds to 50 nanoseconds)."""
+MOST_BROADCAST = 300_000
+"""Rows of 16 bytes of the table of token counts up to which it is sent to every executor."""
+LENGTH_STEP = 1.1
+"""Ratio of successive length classes."""
 
 
 def words(col: Column) -> Column:
@@ -38,12 +48,45 @@ def _at_least(share: float, n: Column) -> Column:
 
 def _subsets(items: Column, size: int) -> Column:
     """Hashes of all subsets of ``size`` elements of an ordered array."""
-    if size == 1:
-        return F.transform(items, lambda a: F.xxhash64(F.lit(1), a))
-    rest = lambda i: F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0)))
-    if size == 2:
-        return F.flatten(F.transform(items, lambda a, i: F.transform(rest(i), lambda b: F.xxhash64(F.lit(2), a, b))))
-    return F.flatten(F.flatten(F.transform(items, lambda a, i: F.transform(rest(i), lambda b, j: F.transform(F.slice(items, i + j + 3, F.greatest(F.size(items) - i - j - 2, F.lit(0))), lambda c: F.xxhash64(F.lit(3), a, b, c))))))
+
+    def below(rest: Column, chosen: list[Column]) -> Column:
+        if len(chosen) == size - 1:
+            return F.transform(rest, lambda a: F.xxhash64(F.lit(size), *chosen, a))
+        after = lambda i: F.slice(rest, i + 2, F.greatest(F.size(rest) - i - 1, F.lit(0)))
+        return F.flatten(F.transform(rest, lambda a, i: below(after(i), [*chosen, a])))
+
+    return below(items, [])
+
+
+def _choose(n: Column, k: int) -> Column:
+    """Number of subsets of ``k`` of ``n`` elements."""
+    out = F.lit(1.0)
+    for i in range(k):
+        out = out * F.greatest(n - i, F.lit(0)) / (i + 1)
+    return out
+
+
+def _met(f: Column, size: int, total: float) -> Column:
+    """Records expected to hold ``size`` of the tokens with these counts, were tokens independent: elementary symmetric sums by Newton's identities."""
+    summed = lambda k: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.pow(x / total, F.lit(float(k))))
+    power = [None] + [summed(k) for k in range(1, size + 1)]
+    e = [F.lit(1.0)]
+    for k in range(1, size + 1):
+        e.append(sum(((-1) ** (i - 1) * e[k - i] * power[i] for i in range(1, k + 1)), F.lit(0.0)) / k)
+    return F.greatest(e[size], F.lit(0.0)) * total
+
+
+def _opened(docs: DataFrame) -> dict[int, tuple[int, ...]]:
+    """Length class -> numbers of shared tokens its records may choose from.
+
+    Every set of numbers is priced over all records of the class: the cheapest choice of each as a probe, and the
+    index keys of all for each number in the set. A number is open only where it saves more than its index keys cost.
+    """
+    sizes = range(1, MOST_SHARED + 1)
+    sets = [c for r in sizes for c in itertools.combinations(sizes, r)]
+    price = lambda c: F.sum(F.least(*[F.col(f"probe{k}") for k in c], F.lit(float("inf"))) + sum((F.col(f"index{k}") for k in c), F.lit(0.0)))
+    rows = docs.groupBy("class").agg(*[price(c).alias("s" + "".join(map(str, c))) for c in sets]).collect()  # one row per length class
+    return {r["class"]: min(sets, key=lambda c: (r["s" + "".join(map(str, c))], c)) for r in rows}
 
 
 def similar_sets(df: DataFrame, id_col: str, tokens: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -58,12 +101,14 @@ def similar_sets(df: DataFrame, id_col: str, tokens: str, threshold: float) -> t
     flat = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>")))).alias("toks")).where(F.size("toks") > 0)
     flat = checkpoint(flat.withColumn("key", F.md5(F.array_join("toks", "\x1f").cast("binary"))))
     reps = flat.groupBy("key").agg(F.min("id").alias("rep"))
-    members = flat.join(reps, "key").select("id", "rep").distinct()
-    sets = flat.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "toks").dropDuplicates(["id"])
-    total = float(max(1, sets.count()))
-    ranked = sets.select("id", F.explode("toks").alias("tok")).withColumn("h", F.xxhash64("tok"))
-    freq = ranked.groupBy("h").agg(F.count("*").alias("df"))
-    docs = ranked.join(freq, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+    members = flat.join(reps.hint("merge"), "key").select("id", "rep").distinct()
+    sets = flat.groupBy("key").agg(F.min("id").alias("id"), F.first("toks").alias("toks"))
+    total = float(max(1, reps.count()))
+    ranked = sets.select("key", "id", F.explode(F.transform("toks", lambda x: F.xxhash64(x))).alias("h"))
+    freq = checkpoint(ranked.groupBy("h").agg(F.count("*").alias("df")))
+    # a small vocabulary goes to the tokens where they are, and nothing more is shuffled; a large one is joined by shuffle
+    counted = ranked.join(broadcast_if_small(freq, MOST_BROADCAST), "h").groupBy("key")
+    docs = counted.agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
     one = F.lit(1).cast("long")
 
     def parity(half: int) -> Column:
@@ -74,25 +119,18 @@ def similar_sets(df: DataFrame, id_col: str, tokens: str, threshold: float) -> t
     docs = docs.select("id", F.col("o.h").alias("h"), F.col("o.df").cast("array<double>").alias("f"), F.size("o").alias("n"))
     docs = docs.withColumns({"need": _at_least(t, F.col("n")), "need_y": _at_least(2 * t / (1 + t), F.col("n")), "b1": parity(0), "b2": parity(1)})
 
-    def cost(size: int) -> Column:
-        """Keys and expected candidates when ``size`` prefix tokens have to be shared."""
-        length = F.col("n") - F.col("need") + size
-        part = F.slice("f", 1, length)
-        s1 = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-        s2 = F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x)
-        s3 = F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x * x)
-        keys, met = {
-            1: (length, s1),
-            2: (length * (length - 1) / 2, (s1 * s1 - s2) / 2 / total),
-            3: (length * (length - 1) * (length - 2) / 6, (s1 * s1 * s1 - 3 * s1 * s2 + 2 * s3) / 6 / total / total),
-        }[size]
-        return F.when(F.col("need") >= size, keys * KEY_COST + met).otherwise(F.lit(float("inf")))
-
-    costs = [cost(k) for k in range(1, MOST_SHARED + 1)]
-    best = F.least(*costs)
-    docs = docs.withColumn("shared", F.when(costs[0] <= best, 1).when(costs[1] <= best, 2).otherwise(3))
+    docs = docs.withColumn("class", F.floor(F.log(F.col("n")) / math.log(LENGTH_STEP)).cast("int"))
+    for k in range(1, MOST_SHARED + 1):
+        spare, spare_y = F.col("n") - F.col("need") + k, F.greatest(F.col("n") - F.col("need_y") + k, F.lit(0))
+        probe = _choose(spare, k) * KEY_COST + _met(F.slice("f", 1, spare), k, total)
+        docs = docs.withColumns({f"probe{k}": F.when(F.col("need") >= k, probe).otherwise(F.lit(float("inf"))), f"index{k}": _choose(spare_y, k) * KEY_COST})
     docs = checkpoint(docs)
-    used = sorted(r[0] for r in docs.select("shared").distinct().collect())
+    opened = _opened(docs)
+    pick = F.lit(None).cast("int")
+    for cls, sizes in sorted(opened.items()):
+        best = F.least(*[F.col(f"probe{k}") for k in sizes], F.lit(float("inf")))
+        pick = F.when(F.col("class") == cls, F.coalesce(*[F.when(F.col(f"probe{k}") <= best, k) for k in sizes])).otherwise(pick)
+    docs = docs.withColumn("shared", pick)
 
     def keyed(size: int, length: Column, df: DataFrame, p: str) -> DataFrame:
         return df.select(
@@ -100,14 +138,16 @@ def similar_sets(df: DataFrame, id_col: str, tokens: str, threshold: float) -> t
         )
 
     candidates = None
-    for size in used:
+    reach = math.ceil(-math.log(t) / math.log(LENGTH_STEP)) + 1  # a larger set is at most so many classes up
+    for size in sorted({k for sizes in opened.values() for k in sizes}):
         # x is the larger set, so the overlap is at least ceil(t n_x) and, as n_x >= n_y, at least ceil(2t/(1+t) n_y)
+        up = [cls for cls, sizes in opened.items() if size in sizes]
         probe = keyed(size, F.col("n") - F.col("need") + size, docs.where(F.col("shared") == size), "x_")
-        index = keyed(size, F.col("n") - F.col("need_y") + size, docs, "y_")
+        index = keyed(size, F.col("n") - F.col("need_y") + size, docs.where(F.col("class").isin(sorted({c for u in up for c in range(u - reach, u + 1)}))), "y_")
         x, y = F.col("x_n"), F.col("y_n")
         over = _at_least(t / (1 + t), x + y)
         differ = F.bit_count(F.col("x_b1").bitwiseXOR(F.col("y_b1"))) + F.bit_count(F.col("x_b2").bitwiseXOR(F.col("y_b2")))
-        hit = probe.join(index, "key").where(
+        hit = probe.hint("merge").join(index, "key").where(
             ((y < x) | ((y == x) & (F.col("y_id") < F.col("x_id")))) & (y >= F.lit(t) * x - 1e-9) & (differ <= x + y - 2 * over)
         )
         hit = hit.select("x_id", "y_id")
@@ -116,7 +156,7 @@ def similar_sets(df: DataFrame, id_col: str, tokens: str, threshold: float) -> t
         candidates = docs.select(F.col("id").alias("x_id"), F.col("id").alias("y_id")).limit(0)
     a = docs.select(F.col("id").alias("x_id"), F.col("h").alias("x_h"))
     b = docs.select(F.col("id").alias("y_id"), F.col("h").alias("y_h"))
-    pairs = candidates.distinct().join(a, "x_id").join(b, "y_id").withColumn("overlap", F.size(F.array_intersect("x_h", "y_h")))
+    pairs = candidates.distinct().join(a.hint("merge"), "x_id").join(b.hint("merge"), "y_id").withColumn("overlap", F.size(F.array_intersect("x_h", "y_h")))
     pairs = pairs.withColumn("either", F.size("x_h") + F.size("y_h") - F.col("overlap")).where(F.col("overlap") >= F.lit(t) * F.col("either") - 1e-9)
     links = pairs.select(F.least("x_id", "y_id").alias("rep_a"), F.greatest("x_id", "y_id").alias("rep_b"), F.col("overlap").cast("int"), (F.col("overlap") / F.col("either")).alias("jaccard"))
     return members, links
@@ -126,8 +166,8 @@ def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records, those with equal sets too. Grows with the square of a group of copies."""
     one = members.select(F.col("id").alias("i"), F.col("rep").alias("rep_a"))
     two = members.select(F.col("id").alias("j"), F.col("rep").alias("rep_b"))
-    across = links.select("rep_a", "rep_b").join(one, "rep_a").join(two, "rep_b").select("i", "j")
-    same = one.join(two, F.col("rep_a") == F.col("rep_b")).where("i < j").select("i", "j")
+    across = links.select("rep_a", "rep_b").join(one.hint("merge"), "rep_a").join(two.hint("merge"), "rep_b").select("i", "j")
+    same = one.join(two.hint("merge"), F.col("rep_a") == F.col("rep_b")).where("i < j").select("i", "j")
     return across.union(same).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 
 
@@ -136,5 +176,5 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     links = checkpoint(links)
     comp = connected_components(links, "rep_a", "rep_b").select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
     degree = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    info = comp.join(degree, "rep", "left")
-    return members.join(info, "rep", "left").select("id", "rep", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    info = comp.join(degree.hint("merge"), "rep", "left")
+    return members.join(info.hint("merge"), "rep", "left").select("id", "rep", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
