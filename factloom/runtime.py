@@ -35,8 +35,4 @@ def bounded(df: DataFrame, max_rows: int, what: str) -> list:
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when a count proves the side small; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def unknown_if_null(col, default):
-    return F.coalesce(col, F.lit(default))
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
