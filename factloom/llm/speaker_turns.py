@@ -9,6 +9,7 @@ lines, then over one summary row per block, so a call of any length is spread ov
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -21,6 +22,8 @@ from factloom.llm.names import NICKNAMES, NUMBERED, UNKNOWN_VOICE, bare, fold, f
 from factloom.runtime import checkpoint
 
 BLOCK_LINES = 5000
+COST_UNIT = 1000
+"""Steps of a fit's cost that count as different."""
 
 # Sounds that transcribers write in brackets, and sounds of hesitation.
 SOUNDS = "laugh\\w*|music\\w*|noise|cough\\w*|sigh\\w*|typing|types|doors?|phone|crosstalk|cross-talk|inaudible|unintelligible|indistinct|beep\\w*|applause|clapp\\w*|chatter|background|throat|silence|pause\\w*|static|bell|rings?|ringing|sneez\\w*|whisper\\w*|breath\\w*|sniff\\w*|gasp\\w*|chuckl\\w*|giggl\\w*|groan\\w*|yawn\\w*|whistl\\w*|bark\\w*|knock\\w*|rustl\\w*|click\\w*|click|hum\\w*|cheer\\w*|cr(?:y|ies|ying)|footsteps|echo|feedback|blank_audio|no audio"
@@ -86,7 +89,7 @@ def parse_line(ts: str | None, speaker: str | None, text: str | None, want_text:
         body = re.sub(r"</v>\s*$", "", body[m.end():])
         if label is None:
             label, from_text = f"<v {m.group(1)}>", False
-    elif ":" in body[:80] and (m := _HEAD_LABEL.match(body)):  # LABEL, before a colon
+    elif ":" in body and (m := _HEAD_LABEL.match(body)):  # LABEL, before a colon
         head = (m.group(1) or m.group(2)).strip()
         if label is None and len(head.split()) <= 6:
             label, from_text, headless = head, True, body[m.end():]
@@ -112,6 +115,7 @@ def _shorter(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1:] for i in range(len(word))} if len(word) >= 4 else {word}
 
 
+@functools.lru_cache(maxsize=100_000)
 def name_keys(label: str | None) -> list[str]:
     """Keys of a typed label. Two names can mean the same person only if they share one."""
     if label is None:
@@ -133,6 +137,7 @@ def name_keys(label: str | None) -> list[str]:
     return sorted(keys)
 
 
+@functools.lru_cache(maxsize=100_000)
 def attendee_keys(name: str | None) -> list[str]:
     if name is None:
         return []
@@ -143,9 +148,14 @@ def attendee_keys(name: str | None) -> list[str]:
     return sorted(keys)
 
 
+@functools.lru_cache(maxsize=100_000)
+def _name_words(name: str) -> list[str]:
+    return re.findall(r"[^\W_]+", fold(bare(name)))
+
+
 def fit(label: str, name: str) -> float:
     """How well a label fits an attendee's name: 0 is exact, larger is worse, 9 and more is no fit."""
-    a, b = re.findall(r"[^\W_]+", fold(bare(label))), re.findall(r"[^\W_]+", fold(bare(name)))
+    a, b = _name_words(label), _name_words(name)
     if not a or not b:
         return 9.0
     if a == b:
@@ -198,9 +208,15 @@ def _edits(a: str, b: str) -> int:
     return prev[-1]
 
 
+# The same labels and names meet in many calls; the caches are bounded and change no result.
+@functools.lru_cache(maxsize=200_000)
+def _cost(label: str, name: str) -> int:
+    return round(fit(label, name) * COST_UNIT)
+
+
 _label_keys = F.pandas_udf(lambda s: pd.Series([name_keys(x) for x in s], dtype=object), T.ArrayType(T.StringType()))
 _attendee_keys = F.pandas_udf(lambda s: pd.Series([attendee_keys(x) for x in s], dtype=object), T.ArrayType(T.StringType()))
-_fit = F.pandas_udf(lambda a, b: pd.Series([fit(x, y) for x, y in zip(a, b)]), T.DoubleType())
+_fit = F.pandas_udf(lambda a, b: pd.Series([_cost(x, y) for x, y in zip(a, b)], dtype="int64"), T.LongType())
 
 
 def resolve_labels(labels: DataFrame, attendees: DataFrame) -> DataFrame:
@@ -212,10 +228,11 @@ def resolve_labels(labels: DataFrame, attendees: DataFrame) -> DataFrame:
     people = attendees.where("full_name is not null and attendee_no is not null").select("source_id", F.col("attendee_no").cast("int"), "full_name").distinct()
     index = people.select("source_id", "attendee_no", "full_name", F.explode(F.concat(_attendee_keys("full_name"), F.array(F.concat(F.lit("#"), F.col("attendee_no").cast("string"))))).alias("key"))
     met = keyed.join(index.hint("merge"), ["source_id", "key"]).groupBy("source_id", "label", "attendee_no", "full_name").agg(F.max(F.col("key").startswith("#")).alias("numbered"))
-    met = met.withColumn("cost", F.when(F.col("numbered"), F.lit(0.0)).otherwise(_fit("label", "full_name"))).where("cost < 6")
-    ranked = met.groupBy("source_id", "label").agg(F.min("cost").alias("least"))
-    won = met.join(ranked.hint("merge"), ["source_id", "label"]).where(F.col("cost") <= F.col("least") + 1e-9)
-    return won.groupBy("source_id", "label").agg(F.min("attendee_no").alias("attendee_no"), F.count("*").alias("n")).where("n = 1").drop("n")
+    # one pass: people by rounded cost, then the least cost of each label with the number of people who reach it
+    met = met.withColumn("cost", F.when(F.col("numbered"), F.lit(0)).otherwise(_fit("label", "full_name"))).where(F.col("cost") < 6 * COST_UNIT)
+    level = met.groupBy("source_id", "label", "cost").agg(F.min("attendee_no").alias("attendee_no"), F.count("*").alias("n"))
+    won = level.groupBy("source_id", "label").agg(F.min_by(F.struct("attendee_no", "n"), "cost").alias("w"))
+    return won.where("w.n = 1").select("source_id", "label", "w.attendee_no")
 
 
 def _filled(lines: DataFrame) -> DataFrame:
@@ -257,7 +274,8 @@ def speaker_turns(turns: DataFrame, attendees: DataFrame, want_text: bool = True
     Repeated (source_id, line_no) rows count once; rows with a null key are dropped. Lines whose text is
     null, or holds only sounds and hesitation, are dropped but still hand on their speaker. A line without
     label belongs to the speaker of the line before, the first one to nobody (0). A label before a colon
-    in the text counts only if it means an attendee or an unknown voice; else it stays text.
+    in the text counts only if it has at most six words and 60 characters (no name on a transcript is longer)
+    and means an attendee or an unknown voice; else it stays text.
     """
     lines = turns.where("source_id is not null and line_no is not null").select("source_id", F.col("line_no").cast("int"), _parser(want_text)("ts", "speaker", "text").alias("p"))
     lines = checkpoint(lines.select("source_id", "line_no", "p.*").dropDuplicates(["source_id", "line_no"]))
