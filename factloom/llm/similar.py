@@ -66,9 +66,10 @@ def _choose(n: Column, k: int) -> Column:
     return out
 
 
-def _met(f: Column, size: int, total: float) -> Column:
-    """Records expected to hold ``size`` of the tokens with these counts, were tokens independent: elementary symmetric sums by Newton's identities."""
-    summed = lambda k: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.pow(x / total, F.lit(float(k))))
+def _met(share: Column, size: int, total: float) -> Column:
+    """Records expected to hold ``size`` of the tokens with these shares, were tokens independent: elementary symmetric sums by Newton's identities."""
+    raised = lambda x, k: x if k == 1 else x * raised(x, k - 1)
+    summed = lambda k: F.aggregate(share, F.lit(0.0), lambda a, x: a + raised(x, k))
     power = [None] + [summed(k) for k in range(1, size + 1)]
     e = [F.lit(1.0)]
     for k in range(1, size + 1):
@@ -116,7 +117,7 @@ def similar_sets(df: DataFrame, id_col: str, tokens: str, threshold: float) -> t
         mine = F.filter("h", lambda x: F.shiftrightunsigned(x, 40).bitwiseAND(one) == half)
         return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(x, 8).bitwiseAND(F.lit(63)).cast("int"))))
 
-    docs = docs.select("id", F.col("o.h").alias("h"), F.col("o.df").cast("array<double>").alias("f"), F.size("o").alias("n"))
+    docs = docs.select("id", F.col("o.h").alias("h"), F.transform("o.df", lambda x: x / F.lit(total)).alias("f"), F.size("o").alias("n"))
     docs = docs.withColumns({"need": _at_least(t, F.col("n")), "need_y": _at_least(2 * t / (1 + t), F.col("n")), "b1": parity(0), "b2": parity(1)})
 
     docs = docs.withColumn("class", F.floor(F.log(F.col("n")) / math.log(LENGTH_STEP)).cast("int"))
