@@ -6,40 +6,44 @@ a typed string within k edits has at least one of them unchanged, at most k plac
 from an equality join on (length of the form, segment number, segment text), are verified with the
 built-in levenshtein, and values without a match are reported through an anti-join.
 
-Typed values are aggregated to distinct ones first, so a value that fills a third of all rows is matched once.
+Typed values are aggregated to distinct ones first, and those to distinct letters-and-digits strings, so a value
+that fills a third of all rows is matched once. Both tables are materialised, as the later steps read them repeatedly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from factloom.runtime import checkpoint
+
+# Words that people put before the name of an entry, with a colon, or after it. Defaults of a parameter.
+BEFORE = ("new", "feature")
+AFTER = ("module", "modules", "existing")
+
+# Words before and after a name that people add to it, without a bracket or colon to tell them: {before} and {after}
+# are lists of SQL literals. Remarks in front, up to a colon, count only if their word is listed.
 _KEYS = """
-typed_words AS (
+WITH typed_words AS (
   SELECT value,
-    filter(split(trim(regexp_replace(lower(regexp_replace(regexp_replace(value, '(?i)^(?:[^a-z0-9]|[0-9]+[.)]\\\\s+|the[^a-z0-9]+|(?:new|feature)\\\\s*:)+', ''), '([a-z])([A-Z])', '$1 $2')), '[^a-z0-9]+', ' ')), ' '),
+    filter(split(trim(regexp_replace(lower(regexp_replace(regexp_replace(value, '(?i)^(?:[^a-z0-9]|[0-9]+[.)]\\\\s+|the[^a-z0-9]+|(?:{before})\\\\s*:)+', ''), '([a-z])([A-Z])', '$1 $2')), '[^a-z0-9]+', ' ')), ' '),
       w -> w NOT IN ('', 'of', 'the')) AS words
-  FROM distinct_values),
+  FROM {{distinct_values}}),
 typed_core AS (
   SELECT value, CASE
-      WHEN size(words) > 1 AND element_at(words, -1) IN ('existing', 'module', 'modules') AND size(words) > 2 AND element_at(words, -2) IN ('existing', 'module', 'modules') THEN slice(words, 1, size(words) - 2)
-      WHEN size(words) > 1 AND element_at(words, -1) IN ('existing', 'module', 'modules') THEN slice(words, 1, size(words) - 1)
+      WHEN size(words) > 2 AND get(words, size(words) - 1) IN ({after}) AND get(words, size(words) - 2) IN ({after}) THEN slice(words, 1, size(words) - 2)
+      WHEN size(words) > 1 AND get(words, size(words) - 1) IN ({after}) THEN slice(words, 1, size(words) - 1)
       ELSE words END AS words
-  FROM typed_words),
-typed AS (
-  SELECT DISTINCT value, typed FROM (
-    SELECT value, array_join(words, '') AS typed FROM typed_core
-    UNION ALL
-    SELECT value, regexp_replace(array_join(words, ''), '(module|modules|existing)$', '') FROM typed_core
-    UNION ALL
-    SELECT value, regexp_replace(array_join(words, ''), 's$', '') FROM typed_core)
-  WHERE length(typed) >= 2),
+  FROM typed_words)
+SELECT DISTINCT value, typed FROM (
+  SELECT value, explode(array(array_join(words, ''), regexp_replace(array_join(words, ''), '({endings})$', ''), regexp_replace(array_join(words, ''), 's$', ''))) AS typed FROM typed_core)
+WHERE length(typed) >= 2
 """
 
 # Names of two parts take every mix of shortened parts; longer ones are turned as a whole or shortened in one part.
 _FORMS = """
-spelled AS (
+WITH spelled AS (
   SELECT entry_id, filter(split(trim(regexp_replace(lower(spelling), '[^a-z0-9]+', ' ')), ' '), w -> w NOT IN ('', 'of', 'the')) AS words
-  FROM (SELECT entry_id, name AS spelling FROM entries UNION ALL SELECT entry_id, alias FROM entries)
+  FROM (SELECT entry_id, explode(array(name, alias)) AS spelling FROM {entries})
   WHERE spelling IS NOT NULL),
 part AS (
   SELECT entry_id, words, size(words) AS n, transform(words, w -> array_distinct(concat(
@@ -71,44 +75,45 @@ segments AS (
     substr(form, CAST(floor(i * length(form) / (k + 1)) AS INT) + 1, CAST(floor((i + 1) * length(form) / (k + 1)) AS INT) - CAST(floor(i * length(form) / (k + 1)) AS INT)) AS segment
   FROM forms LATERAL VIEW explode(sequence(0, k)) x AS i),
 shapes AS (SELECT DISTINCT len, k FROM segments),
+strings AS (SELECT /*+ REPARTITION({tasks}, typed) */ DISTINCT typed FROM {{typed}}),
 probes AS (
-  SELECT DISTINCT value, typed, len, k, i,
+  SELECT DISTINCT typed, len, k, i,
     substr(typed, at + 1, CAST(floor((i + 1) * len / (k + 1)) AS INT) - CAST(floor(i * len / (k + 1)) AS INT)) AS segment
   FROM (
-    SELECT value, typed, len, k, i, explode(sequence(greatest(CAST(floor(i * len / (k + 1)) AS INT) - k, 0), CAST(floor(i * len / (k + 1)) AS INT) + k)) AS at
+    SELECT typed, len, k, i, explode(sequence(greatest(CAST(floor(i * len / (k + 1)) AS INT) - k, 0), CAST(floor(i * len / (k + 1)) AS INT) + k)) AS at
     FROM (
-      SELECT value, typed, len, k, explode(sequence(0, k)) AS i
-      FROM (SELECT value, typed, explode(sequence(greatest(length(typed) - 4, 1), length(typed) + 4)) AS len FROM typed) JOIN shapes USING (len)
+      SELECT typed, len, k, explode(sequence(0, k)) AS i
+      FROM (SELECT typed, explode(sequence(greatest(length(typed) - 4, 1), length(typed) + 4)) AS len FROM strings) JOIN shapes USING (len)
       WHERE abs(length(typed) - len) <= k))),
-"""
-
-
-def match_sql() -> str:
-    """The statement over the views distinct_values(value) and entries(entry_id, name, alias)."""
-    verified = """
 pairs AS (
-  SELECT DISTINCT p.value, p.typed, s.entry_id, s.form, s.is_short, s.k
+  SELECT DISTINCT p.typed, s.entry_id, s.form, s.is_short, s.k
   FROM probes p JOIN segments s ON p.len = s.len AND p.k = s.k AND p.i = s.i AND p.segment = s.segment),
-matches AS (
-  SELECT value, entry_id, min(struct(levenshtein(typed, form, k) AS distance, is_short)) AS rank
-  FROM pairs WHERE levenshtein(typed, form, k) >= 0 GROUP BY value, entry_id),
-best AS (
-  SELECT value, min(struct(rank.distance, rank.is_short, entry_id)).entry_id AS entry_id, min(struct(rank.distance, rank.is_short, entry_id)).distance AS distance
-  FROM matches GROUP BY value)
-SELECT value, entry_id, distance FROM best
+measured AS (SELECT typed, entry_id, is_short, levenshtein(typed, form, k) AS distance FROM pairs)
+SELECT typed, entry_id, min(struct(distance, is_short)) AS rank FROM measured WHERE distance >= 0 GROUP BY typed, entry_id
+"""
+
+_BEST = """
+WITH best AS (
+  SELECT value, min(struct(rank.distance, rank.is_short, entry_id)) AS b FROM {typed} JOIN {matches} USING (typed) GROUP BY value)
+SELECT value, b.entry_id AS entry_id, b.distance AS distance FROM best
 UNION ALL
-SELECT value, CAST(NULL AS INT), CAST(NULL AS INT) FROM distinct_values LEFT ANTI JOIN best USING (value)
+SELECT value, CAST(NULL AS INT), CAST(NULL AS INT) FROM {distinct_values} LEFT ANTI JOIN best USING (value)
 """
-    return "WITH " + _KEYS + _FORMS + _PROBES + verified
 
 
-def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry_id: str, name: str, alias: str) -> DataFrame:
+def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry_id: str, name: str, alias: str, before: tuple[str, ...] = BEFORE, after: tuple[str, ...] = AFTER) -> DataFrame:
     """(value, entry_id, distance): each distinct non-null value with its closest entry, null where none is close enough.
 
-    Ties go to the smaller distance, then the unshortened form, then the smaller entry_id. Empty values and
-    values without letters or digits are unmatched. An exact name has distance 0.
+    ``before`` and ``after`` are words that people put before a name (with a colon) or after it, not part of any name.
+    A name of two parts may have both shortened, a longer one any one of them; a part is shortened to 3 to 9 letters
+    (3 to 6 with a plural s) or to its consonants. Ties go to the smaller distance, then the unshortened form, then the
+    smaller entry_id. Empty values and values without letters or digits are unmatched. An exact name has distance 0.
     """
     spark = values.sparkSession
-    v = values.selectExpr(f"`{value}` AS value").where("value IS NOT NULL").distinct()
+    v = checkpoint(values.selectExpr(f"`{value}` AS value").where("value IS NOT NULL").distinct())
     e = entries.selectExpr(f"`{entry_id}` AS entry_id", f"`{name}` AS name", f"`{alias}` AS alias").where("entry_id IS NOT NULL").distinct()
-    return spark.sql(match_sql().replace("FROM distinct_values", "FROM {distinct_values}").replace("FROM entries", "FROM {entries}"), distinct_values=v, entries=e)
+    none = "(?!)"  # matches nothing
+    keys = _KEYS.format(before="|".join(before) or none, after=", ".join(f"'{w}'" for w in after) or "NULL", endings="|".join(after) or none)
+    typed = checkpoint(spark.sql(keys, distinct_values=v))
+    matches = spark.sql(_FORMS + _PROBES.replace("{tasks}", spark.conf.get("spark.sql.shuffle.partitions")).replace("{{typed}}", "{typed}"), entries=e, typed=typed)
+    return spark.sql(_BEST, typed=typed, matches=matches, distinct_values=v)

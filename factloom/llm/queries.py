@@ -91,17 +91,18 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(rows, "text", _given(spark, d)).select("tab", "source_id", "row_no", "redacted")
 
 
+def _areas_of(spark: SparkSession, d: str, values: DataFrame) -> DataFrame:
+    return canonical.map_to_list(values, "feature", table(spark, d, "feature_areas"), "area_id", "area_name", "alias_name")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    areas = table(spark, d, "feature_areas")
-    s = table(spark, d, "statements").select("statement_id", "feature").where("feature is not null").distinct()
-    s = s.join(areas.select(F.col("area_name").alias("feature")), "feature", "left_anti")
-    found = canonical.map_to_list(s, "feature", areas, "area_id", "area_name", "alias_name")
-    return s.join(found, s.feature == found.value).select("statement_id", F.coalesce("entry_id", F.lit(0)).alias("area_id")).distinct()
+    s = table(spark, d, "statements").select("statement_id", "feature").where("feature is not null")
+    s = s.join(table(spark, d, "feature_areas").select(F.col("area_name").alias("feature")), "feature", "left_anti")
+    return s.join(_areas_of(spark, d, s), F.col("feature") == F.col("value")).select("statement_id", F.coalesce("entry_id", F.lit(0)).alias("area_id")).distinct()
 
 
 def p7_values(spark: SparkSession, d: str) -> DataFrame:
-    areas = table(spark, d, "feature_areas")
-    return canonical.map_to_list(table(spark, d, "statements"), "feature", areas, "area_id", "area_name", "alias_name")
+    return _areas_of(spark, d, table(spark, d, "statements"))
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
