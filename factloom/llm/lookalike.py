@@ -17,6 +17,7 @@ import functools
 import itertools
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -24,17 +25,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters that look like a Latin letter in common typefaces.
+# Letters of other scripts that Unicode's list of confusable characters gives for a Latin letter (letter for
+# letter, same case; a capital that it gives for small l stands for capital I), but those whose shape differs in common typefaces
+# (alpha, gamma, iota, sigma). Dashes of other lengths are no look-alikes.
 LOOKALIKES = {
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j",
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
-    "ɡ": "g", "ɑ": "a",
+    # Greek and Coptic
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϝ": "F", "Ϻ": "M", "Ϳ": "J",
+    "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "κ": "k", "τ": "t",
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    # Cyrillic
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԍ": "G", "Ԝ": "W", "Ѵ": "V", "Ү": "Y", "Ӏ": "I",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y", "ҽ": "e",
+    # Armenian
+    "Ս": "U", "Տ": "S", "Օ": "O", "ա": "w", "գ": "q", "զ": "q", "հ": "h", "ո": "n", "ռ": "n", "ս": "u", "ց": "g", "ք": "f", "օ": "o",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ᏻ": "G", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Latin and its small capitals
+    "ɡ": "g", "ɑ": "a", "ᴄ": "c", "ᴏ": "o", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ƽ": "s", "ꞌ": "'",
+    # hyphens
     "‐": "-", "‑": "-",
 }
 # Characters without a picture that Unicode does not list as format characters.
 FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍⠀ㅤﾠ"
+HALF_WIDTH_MARKS = "ﾞﾟ"
+MOST_CLUSTERS = 200_000
 JOINER = "‍"
 _PICTURE = "[©®‼-㊙\U0001f000-\U0001faff]"
 _VARIATION = "[︀-️]"
@@ -69,7 +85,9 @@ def build_table() -> dict[str, str]:
         elif how.startswith(("<wide>", "<narrow>")):
             form = unicodedata.normalize("NFKC", ch)
             put(ch, {"ㅤ": ""}.get(form, form))
-        elif how.startswith("<compat>") and 0xFB00 <= code <= 0xFB06:
+        elif how.startswith("<compat>") and (0xFB00 <= code <= 0xFB06 or 0x2160 <= code <= 0x217F):  # ligatures, Roman numerals
+            put(ch, unicodedata.normalize("NFKC", ch))
+        elif how.startswith("<font>"):  # letters of mathematical alphabets
             put(ch, unicodedata.normalize("NFKC", ch))
         elif how and not how.startswith("<"):
             form = unicodedata.normalize("NFC", ch)
@@ -105,23 +123,39 @@ def build_table() -> dict[str, str]:
     raise Conflict(f"no stable form for {sorted(again)[:5]!a}")
 
 
+def _ranges(codes: Iterable[int]) -> str:
+    """Character class of code points, as ranges."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(re.escape(chr(a)) + "-" + re.escape(chr(b)) for a, b in out)
+
+
 class Transducer:
-    """The compiled table. ``form`` rewrites a text; ``aligned`` also tells where each output character came from."""
+    """The compiled table. ``form`` rewrites a text; ``aligned`` also tells where each output character came from.
+
+    All characters, and all clusters that Unicode has a composed letter for, are in the table beforehand; any other
+    base with its marks follows the same rule when it is first met, and is then kept.
+    """
 
     def __init__(self) -> None:
         self.table = build_table()
         single = sorted(k for k in self.table if len(k) == 1)
         self.single = {ord(k): self.table[k] for k in single}
-        mark = "".join(chr(c) for c in range(0x300, 0x370)) + "҃-҇᪰-᫿᷀-᷿⃐-⃰︠-︯"
+        mark = _ranges(c for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))) + HALF_WIDTH_MARKS
         blank = "".join(re.escape(k) for k in single if not self.table[k] and k < "\U00010000")
         # A cluster of several characters: an emoji with its joiners, or a base with marks (format characters between them
         # have no picture); else any single mapped character. Alternatives stand longest first.
         emoji = f"{_PICTURE}{_VARIATION}?(?:{JOINER}{_PICTURE}{_VARIATION}?)+"
-        marked = f"[^\\W\\d_](?:[{blank}]*[{mark}])+"
+        marked = f"[^\\s{mark}{blank}](?:[{blank}]*[{mark}])+"
+        jamo = "[\u1100-\u115e\u1161-\u11ff]{2,}"  # letters of a Hangul syllable
         ones = "[" + "".join(re.escape(k) for k in single if k < "\U00010000") + "]|[\U00010000-\U0010ffff]"
-        self.pattern = re.compile(f"({emoji})|({marked})|\r\n|{ones}")
+        self.pattern = re.compile(f"({emoji})|({marked})|{jamo}|\r\n|{ones}")
         self.simple = re.compile(ones)
-        self.several = re.compile(f"[{mark}{JOINER}\r]")  # without these every cluster is one character
+        self.several = re.compile(f"[{mark}{JOINER}\u1100-\u11ff\r]")  # without these every cluster is one character
         self.blank = {ord(k): None for k in single if not self.table[k]}
 
     def _one(self, m: re.Match) -> str:
@@ -133,8 +167,10 @@ class Transducer:
         if (form := self.table.get(cluster)) is not None:
             return form
         plain = unicodedata.normalize("NFD", cluster.translate(self.blank))
-        base = self.table.get(plain[0], plain[0])
-        return unicodedata.normalize("NFC", base + plain[1:])
+        form = unicodedata.normalize("NFC", "".join(self.table.get(c, c) for c in plain))
+        if len(self.table) < MOST_CLUSTERS:
+            self.table[cluster] = form  # the rest of the same cluster's occurrences look it up
+        return form
 
     def _single(self, m: re.Match) -> str:
         return self.table.get(m.group(), m.group())

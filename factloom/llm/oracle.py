@@ -16,7 +16,7 @@ def _form(x: str, table: dict[str, str]) -> str:
     gone = [k for k, v in single.items() if not v]
     for k, v in single.items():
         if len(v) > 1:
-            x = f"replace({x}, {_q(k)}, {_q(v)})" if 0xFB00 <= ord(k) <= 0xFB06 else x
+            x = f"replace({x}, {_q(k)}, {_q(v)})" if 0xFB00 <= ord(k) <= 0xFB06 or 0x2160 <= ord(k) <= 0x217F else x
     return f"trim(nfc_normalize(translate({x}, {_q(''.join(kept) + ''.join(gone))}, {_q(''.join(kept.values()))})), ' ' || chr(10))"
 
 
