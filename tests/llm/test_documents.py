@@ -52,6 +52,33 @@ def test_leak_recall_and_distance():
     assert {(x, x) for x in range(50)} <= set(map(tuple, t.candidates(t.rows[:50])))  # equal windows share every key
 
 
+def test_leak_selectivity_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [w + str(k) for w in WORDS for k in range(40)]
+    items = [(i, " ".join(rng.choice(words, 60))) for i in range(200)]
+    t = leaks.Tables(items, 12, 16, 8, 7)
+    src = rng.integers(0, len(t.rows), 600)
+    recall = {}
+    for edits in (1, 2):
+        rows = t.rows[src].copy()
+        for x in range(600):
+            r = list(rows[x])
+            for _ in range(edits):
+                p = int(rng.integers(0, 12))
+                r = [r[:p] + [t.other] + r[p + 1 :], (r[:p] + [t.other] + r[p:])[:12], r[:p] + r[p + 1 :] + [t.other]][int(rng.integers(0, 3))]
+            rows[x] = r
+        found = t.candidates(rows)
+        pairs = set(map(tuple, found))
+        recall[edits] = np.mean([(x, src[x]) in pairs for x in range(600)])
+        assert len(found) < 4 * 600  # candidates a window, of 9,800 windows of items, those shifted by a word among them
+    assert recall[1] >= 0.95 and recall[2] >= 0.7
+    docs = spark.createDataFrame([(i, "x " + " ".join(items[i][1].split()[3 : 16 + i % 5]) + " y") for i in range(60)], "d int, t string")
+    df = spark.createDataFrame(items, "i bigint, t string")
+    whole = sorted(map(tuple, leaks.leaks(docs, "d", "t", df, "i", "t").collect()))
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 10_000)
+    assert sorted(map(tuple, leaks.leaks(docs, "d", "t", df, "i", "t").collect())) == whole and len(whole) >= 60
+
+
 def test_packing_plan():
     rng = np.random.default_rng(3)
     h = {int(k): int(v) for k, v in zip(*np.unique(np.clip(rng.lognormal(4.5, 0.8, 20000).astype(int), 1, 2048), return_counts=True))}

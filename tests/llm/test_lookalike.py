@@ -13,6 +13,11 @@ def test_form(text, form):
     assert transducer().form(text) == form
 
 
+@pytest.mark.parametrize("a, b", [("ρ", "p"), ("τ", "t"), ("κ", "k"), ("օ", "o"), ("ⅳ", "iv"), ("𝐀", "A"), ("ꓮ", "A"), ("ｶﾞ", "ガ"), ("각", "\u1100\u1161\u11a8"), ("1\u200b\u0301", "1\u0301"), ("ậ", "a\u0302\u0323")])
+def test_same_picture(a, b):
+    assert transducer().form(f"x {a}.") == transducer().form(f"x {b}.")
+
+
 @settings(max_examples=300)
 @given(st.text(max_size=30))
 def test_stable_and_aligned(text):

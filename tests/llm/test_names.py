@@ -1,3 +1,5 @@
+import random
+
 from factloom.llm import spellings as P
 from factloom.llm import speaker_turns as T
 from factloom.llm.names import bare
@@ -59,3 +61,24 @@ def test_turns(spark, monkeypatch):
         assert {tuple(r)[:5] for r in got.select("source_id", "first_line", "last_line", "attendee_no", "start_sec").collect()} == want
     assert {r.first_line: r.text for r in got.where("source_id = 'k'").collect()}[6] == "And I. Still me."
     assert T.speaker_turns(df.limit(0), people).count() == 0
+
+
+def test_candidate_recall(spark):
+    """Of generated variants as similar as the curve is tuned for, nearly all must become candidates, at every number of rows a band."""
+    rng = random.Random(4)
+    given, family = ["katherine", "william", "robert", "magdalena", "theodore", "joanna", "peter", "susan"], ["brookfield", "lindqvist", "okafor", "castellanos", "huang", "petrenko", "ashworth", "delacroix"]
+    grams = lambda n: {w[i : i + 2] for w in (f"^{x}$" for x in n.split()) for i in range(len(w) - 1)}
+    names, pairs = set(), []
+    for _ in range(300):
+        a = f"{rng.choice(given)} {rng.choice(family)}{rng.randrange(90)}"
+        g, f = a.split()
+        k = rng.randrange(len(f))
+        b = rng.choice([f"{g[0]} {f}", f"{f} {g}", f"{g} {f[:k] + f[k + 1:]}", f"{g[:3]} {f}", f"{g} {rng.choice('abc')} {f}"])
+        names |= {a, b}
+        if a != b and len(grams(a) & grams(b)) >= P.LOWEST_SIMILARITY * len(grams(a) | grams(b)):
+            pairs.append(tuple(sorted((a, b))))
+    df = spark.createDataFrame([("p", n) for n in names], "scope string, name string")
+    for rows in (2, 3):
+        got = {(r.a, r.b) for r in P.candidates(df, rows, P.bands_for(P.LOWEST_SIMILARITY, rows, P.RECALL)).collect()}
+        assert len(pairs) > 200 and sum(p in got for p in pairs) >= 0.97 * len(pairs)
+    assert P.rows_for(10) == 2 and P.rows_for(50_000) > 2
