@@ -1,14 +1,20 @@
 """Problem 6: personal information in free text, replaced by typed placeholders.
 
 Detection runs on the consistent form of a text, with every position carried back to the text as
-delivered. Numbers are validated by format and length. A placeholder carries a pseudonym that keeps equal
-values linked across documents: digits of validated numbers are permuted by a keyed Feistel network within
-their own format (a phone number stays one, with the same separators); values without a numeric format get
-a keyed tag. Without the key nothing can be traced back; with it the numbers can be restored.
+delivered. Numbers are validated by format and length, payment cards by their check digit, dates by the
+calendar. A placeholder carries a pseudonym that keeps equal values linked across documents: digits of
+validated numbers are permuted by a keyed Feistel network within their own format (a phone number stays one,
+with the same separators; a card keeps a valid check digit), dates of birth within the days of two centuries
+and in their own notation; values without such a format get a keyed tag. Without the key nothing can be
+traced back; with it numbers and dates can be restored.
+
+Names are found by given name (lists and the people a caller passes), and, whatever the given name, where a
+title or a self-introduction stands before two capitalised words.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import re
@@ -59,6 +65,68 @@ _SPOKEN_SET = set(SPOKEN)
 _STREET_SET = {w.lower() for w in STREETS.split("|")}
 _BLANK_DIGIT = re.compile(r"\s\d")
 _LONG_NUMBER = re.compile(r"\d[\d().\s-]{4,}\d")
+# Months; the days within which dates are permuted.
+MONTHS = "January February March April May June July August September October November December".split()
+FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049  # to the end of 2099
+_MONTH = "|".join(m if len(m) < 4 else f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
+_DATE = re.compile(rf"\b(?:(?P<y1>\d{{4}})-(?P<m1>\d{{2}})-(?P<d1>\d{{2}})|(?P<d2>\d{{1,2}})(?P<sep>[./])(?P<m2>\d{{1,2}})(?P=sep)(?P<y2>\d{{4}})|(?P<d3>\d{{1,2}})(?:st|nd|rd|th)? (?P<n3>{_MONTH})\.?,? (?P<y3>\d{{4}})|(?P<n4>{_MONTH})\.? (?P<d4>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<y4>\d{{4}}))\b", re.I)
+_BIRTH = re.compile(r"\b(?:born|birth|birthday|birthdate|dob|d\.o\.b\.?|geboren|geb\.|née?|nacid[oa]|nat[oa])\b[^.!?\n]{0,25}$", re.I)
+_CARD = re.compile(r"(?<![\w.+-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?:[ -]?\d{1,3})?(?![\w]|[.-]\d)")
+# Words after which two capitalised words are a person's name: titles, and introductions of oneself.
+_INTRODUCED = re.compile(r"(?:\b(?:[Mm]y name is|[Mm]y name's|[Ii] am called|[Yy]ou(?:'re| are) (?:talking|speaking) (?:to|with))\s+|\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau)\b\.?\s+)(?=[^\W\d_])")
+_TWO_CAPITALS = re.compile(r"([^\W\d_]{2,}(?:-[^\W\d_]+)?)(?:\s[^\W\d_]\.)*\s(?:" + PARTICLES + r"){0,2}((?:[OD]['’])?[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*)(?![\w])")
+# A speaker label at the start of a text, after a time and marks if there are any.
+_HEAD = re.compile(r"^[^\w]*(?:\d[\d:.,]*(?:\s*-+>\s*[\d:.,]+)?)?[^\w]*(?:<v\s*)?(?:(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau)\b\.?\s*)?$")
+_LABEL_END = re.compile(r"^[*_]{0,2}\s*(?:\([^()]*\)\s*)?[*_]{0,2}\s*[:>]")
+
+
+def luhn(digits: str) -> bool:
+    """Whether the last digit checks the others, as on payment cards."""
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def date_of(text: str) -> datetime.date | None:
+    """The day a date means (day before month in all-number notations unless only the other order is one), None if it is none."""
+    m = _DATE.fullmatch(text)
+    if not m:
+        return None
+    g = m.groupdict()
+    k = next(k for k in "1234" if g[f"y{k}"])
+    month = g.get(f"m{k}") or next(i for i, n in enumerate(MONTHS, 1) if n[:3].lower() == g[f"n{k}"][:3].lower())
+    y, mo, d = int(g[f"y{k}"]), int(month), int(g[f"d{k}"])
+    if k == "2" and mo > 12 >= d:
+        mo, d = d, mo
+    try:
+        day = datetime.date(y, mo, d)
+    except ValueError:
+        return None
+    return day if 0 <= (day - FIRST_DAY).days < DAYS else None
+
+
+def permuted_date(text: str, key: bytes, back: bool = False) -> str:
+    """Another day in the same notation: a keyed permutation of the days of two centuries (cycle walking); ``back`` undoes it."""
+    at = (date_of(text) - FIRST_DAY).days
+    while True:
+        at = int(feistel(f"{at:05d}", key + b"date", back))
+        if at < DAYS:
+            break
+    new = FIRST_DAY + datetime.timedelta(days=at)
+    m = _DATE.fullmatch(text)
+    if m.group("y1"):
+        return new.isoformat()
+    if m.group("y2"):
+        a, b = new.day, new.month
+        if int(m.group("m2")) > 12:  # month first; kept only where it can't be read the other way
+            a, b = (b, a) if new.day > 12 else (a, b)
+        return f"{a:02d}{m.group('sep')}{b:02d}{m.group('sep')}{new.year}"
+    month = MONTHS[new.month - 1]
+    return f"{new.day} {month} {new.year}" if m.group("y3") else f"{month} {new.day}, {new.year}"
+
+
+def permuted_card(digits: str, key: bytes, back: bool = False) -> str:
+    """Digits of a card permuted but for the check digit, which is computed anew."""
+    body = feistel(digits[:-1], key + b"card", back)
+    return next(body + c for c in "0123456789" if luhn(body + c))
 
 
 # the same forms inside a longer run of digits and marks ("... 0115. 14 boxes", "... 0115 a trainee")
@@ -128,6 +196,11 @@ def pseudonym(kind: str, value: str, key: bytes) -> str:
         words = re.findall(r"[a-z]+", value.lower())
         digits = "".join(SPOKEN[w] for w in words)
         return feistel(digits, key + b"phone")
+    if kind == "date":
+        return permuted_date(value, key)
+    if kind == "card":
+        new = iter(permuted_card("".join(c for c in value if c.isdigit()), key))
+        return "".join(next(new) if c.isdigit() else c for c in value)
     if kind in ("phone", "id_number"):
         digits = "".join(c for c in value if c.isdigit())
         prefix, rest = national(digits, value) if kind == "phone" else ("", digits)
@@ -139,6 +212,11 @@ def pseudonym(kind: str, value: str, key: bytes) -> str:
     return hmac.new(key, f"{kind}:{plain}".encode(), hashlib.sha256).hexdigest()[:10]
 
 
+_BEFORE_NAMES = {"mr", "mrs", "ms", "miss", "mx", "dr", "prof", "herr", "frau", "name", "called", "talking", "speaking"}
+_BIRTH_WORDS = {"born", "birth", "birthday", "birthdate", "dob", "d", "geboren", "geb", "née", "né", "nacido", "nacida", "nato", "nata"}
+_FIRM = re.compile(r",?\s+(?:" + "|".join(sorted(LEGAL_FORMS)) + r")\b", re.I)
+
+
 class Detector:
     """Finds (kind, start, end) in a text in its consistent form; given: folded given names."""
 
@@ -167,12 +245,20 @@ class Detector:
                     continue
             elif low in _COMMON_WORDS or not family.islower() or len(family) < 5:
                 continue
-            after = text[m.end():]
-            if re.match(r"\s*:", after) and not re.search(r"\w", text[: m.start()]):
-                continue  # the speaker label at the start of a text
-            if re.match(r",?\s+(?:" + "|".join(LEGAL_FORMS) + r")\b", after, re.I):
-                continue
-            yield "name", m.start(), m.end()
+            if not self.is_other(text, m.start(), m.end()):
+                yield "name", m.start(), m.end()
+
+    def is_other(self, text: str, start: int, end: int) -> bool:
+        """Whether the words are the speaker label at the start of a text, or a firm."""
+        after = text[end : end + 80]
+        return bool(_LABEL_END.match(after) and _HEAD.match(text[:start]) or _FIRM.match(after))
+
+    def introduced(self, text: str) -> Iterator[tuple[str, int, int]]:
+        """Names told by what stands before them, whatever the given name."""
+        for w in _INTRODUCED.finditer(text):
+            m = _TWO_CAPITALS.match(text, w.end())
+            if m and m.group(1)[0].isupper() and m.group(2)[0].isupper() and fold(m.group(2)) not in NOT_FAMILY and fold(m.group(1)) not in LEGAL_FORMS and not self.is_other(text, m.start(), m.end()):
+                yield "name", m.start(), m.end()
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
         spans: list[tuple[str, int, int]] = []
@@ -184,13 +270,21 @@ class Detector:
         for m in _NUMBER.finditer(text) if _LONG_NUMBER.search(text) else ():
             if (hit := _number_in(m.group())) is not None:
                 spans.append((hit[0], m.start() + hit[1], m.start() + hit[2]))
+            elif card := _CARD.fullmatch(m.group()):
+                digits = "".join(c for c in card.group() if c.isdigit())
+                if 13 <= len(digits) <= 19 and luhn(digits):
+                    spans.append(("card", m.start(), m.end()))
         if not words.isdisjoint(_SPOKEN_SET):
             spans += [("phone", m.start(), m.end()) for m in _SPOKEN.finditer(text)]
         if _may_hold_address(text, words):
             spans += [("address", m.start(), m.end()) for m in _ADDRESS.finditer(text)]
-        if not self.seen.isdisjoint(words):
+        if not self.seen.isdisjoint(words if text.isascii() else {w if w.isascii() else fold(w) for w in words}):
             spans += self.names(text)
-        order = {"email": 0, "id_number": 1, "address": 2, "phone": 3, "name": 4}
+        if not words.isdisjoint(_BEFORE_NAMES):
+            spans += self.introduced(text)
+        if not words.isdisjoint(_BIRTH_WORDS):
+            spans += [("date", m.start(), m.end()) for m in _DATE.finditer(text) if _BIRTH.search(text[max(0, m.start() - 40) : m.start()]) and date_of(m.group())]
+        order = {"email": 0, "card": 1, "date": 2, "id_number": 3, "address": 4, "phone": 5, "name": 6}
         taken: list[tuple[str, int, int]] = []
         for s in sorted(spans, key=lambda x: (order[x[0]], x[1])):
             if all(s[2] <= t[1] or s[1] >= t[2] for t in taken):
@@ -206,9 +300,11 @@ def given_names(people: DataFrame, column: str) -> list[str]:
     return sorted(r[0] for r in bounded(people.select(first.alias("g")).where("g <> ''").distinct(), MOST_GIVEN_NAMES, "the list of given names"))
 
 
-def find_personal(df: DataFrame, keys: list[str], text: str, given: list[str], key: bytes = b"set your own key") -> DataFrame:
+def find_personal(df: DataFrame, keys: list[str], text: str, given: list[str], key: bytes) -> DataFrame:
     """keys, kind, start_pos, end_pos (1-based, inclusive, in the text as delivered), value, pseudonym: a row per piece.
 
+    kind is email, phone, id_number, address, name, card (by its check digit) or date (of birth).
+
     start_pos is the first letter or digit of the piece. Null and empty texts give no row; repeated rows give repeated rows.
     """
     schema = T.StructType([df.schema[k] for k in keys] + [
@@ -236,7 +332,7 @@ def find_personal(df: DataFrame, keys: list[str], text: str, given: list[str], k
     return part.mapInPandas(run, schema)
 
 
-def redact(df: DataFrame, text: str, given: list[str], key: bytes = b"set your own key", out: str = "redacted") -> DataFrame:
+def redact(df: DataFrame, text: str, given: list[str], key: bytes, out: str = "redacted") -> DataFrame:
     """Adds ``out``: the text with [KIND pseudonym] in place of each piece and all else unchanged; null stays null."""
     names = df.sparkSession.sparkContext.broadcast(given)
 

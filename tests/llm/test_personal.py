@@ -1,8 +1,10 @@
+import datetime
+
 from hypothesis import given
 from hypothesis import strategies as st
 
 from factloom.llm.lookalike import transducer
-from factloom.llm.personal import Detector, feistel, find_personal, given_names, pseudonym, redact
+from factloom.llm.personal import FIRST_DAY, Detector, date_of, feistel, find_personal, given_names, luhn, permuted_card, permuted_date, pseudonym, redact
 
 D = Detector(["Joséphine", "Nadia", "Matthias"])
 FOUND = [
@@ -44,9 +46,9 @@ def test_in_spark(spark):
     people = spark.createDataFrame([("Nadia Brook",), (None,), ("X",)], "full_name string")
     given_ = given_names(people, "full_name")
     assert given_ == ["nadia"]
-    got = sorted((r.row_no, r.kind, r.start_pos, r.value) for r in find_personal(df, ["source_id", "row_no"], "text", given_).distinct().collect())
+    got = sorted((r.row_no, r.kind, r.start_pos, r.value) for r in find_personal(df, ["source_id", "row_no"], "text", given_, b"k").distinct().collect())
     assert got == [(1, "name", 28, "Nadia Brook"), (1, "phone", 7, "1 907 555 0106"), (4, "name", 20001, "Nadia Brook")]
-    out = [r.redacted for r in redact(df.limit(3), "text", given_).orderBy("row_no").collect()]
+    out = [r.redacted for r in redact(df.limit(3), "text", given_, b"k").orderBy("row_no").collect()]
     assert out[0].startswith("Ｃａｌｌ [PHONE +1") and "Nadia" not in out[0] and "nо​w, [NAME " in out[0] and out[1:] == [None, ""]
     assert transducer().form("x") == "x"
 
@@ -57,3 +59,36 @@ def test_names_that_no_attendee_has():
         assert [(k, text[s:e]) for k, s, e in detector.find(text)] == [("name", value)], text
     for text in ("Albert is here", "Albert de facto runs it", "Ask Albert It is late", "albert to me"):
         assert detector.find(text) == [], text
+
+
+def test_names_told_by_what_stands_before():
+    detector = Detector([])
+    unseen = "Ngozi Adeyemi;Bogdan Kowalczuk;Jamal Whitfield;Aiko Tanabe;Svetlana Orlova;Thabo Mokoena;Ingrid Solheim;Ravi Menon;Chidi Eze;Linnéa Ström".split(";")
+    held = [(f, n) for n in unseen for f in ("My name is {}.", "Please ask Mr. {} about it", "Dr {} signed", "and you're talking to {} now")]
+    got = [[text[s:e] for k, s, e in detector.find(text) if k == "name"] == [n] for f, n in held for text in (f.format(n),)]
+    assert sum(got) >= 0.9 * len(held)
+    for text in ("My name is on the list", "Mr. Adeyemi called", "Dr Who Ltd is here", "[10:22:30] Mr. Jamal Whitfield: hello", "**Dr Jamal Whitfield:** hello"):
+        assert detector.find(text) == [], text
+
+
+def test_labels_and_accents():
+    detector = Detector(["zoë", "richard"])
+    assert detector.find("[10:22:30] Richard Tarnstrum: Happy Friday") == detector.find("Richard Tarnstrum (client): hello") == []
+    assert [k for k, _, _ in Detector([]).find("Ask for Zoë Zelmarek now")] == ["name"]
+
+
+def test_cards_and_dates():
+    detector = Detector([])
+    text = "Card 4111 1111 1111 1111, born on 3 March 1985; order 4111 1111 1111 1112 of 3 March 1985"
+    assert [(k, text[s:e]) for k, s, e in detector.find(text)] == [("card", "4111 1111 1111 1111"), ("date", "3 March 1985")]
+    new = pseudonym("card", "4111 1111 1111 1111", b"k")
+    assert new[4] == new[9] == " " and luhn(new.replace(" ", "")) and new != "4111 1111 1111 1111"
+    assert permuted_card(permuted_card("4111111111111111", b"k"), b"k", back=True) == "4111111111111111"
+    days = {date_of(pseudonym("date", v, b"k")) for v in ("1985-03-03", "3 March 1985", "March 3, 1985", "03.03.1985", "3/3/1985")}
+    assert len(days) == 1 and None not in days
+    assert date_of("31.02.1985") is None and date_of("1985-13-01") is None and date_of("03/25/1985") == date_of("1985-03-25")
+
+
+@given(st.dates(min_value=FIRST_DAY, max_value=datetime.date(2099, 12, 31)), st.binary(min_size=1, max_size=8))
+def test_dates_are_restored(day, key):
+    assert permuted_date(permuted_date(day.isoformat(), key), key, back=True) == day.isoformat()
