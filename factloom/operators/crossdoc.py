@@ -157,7 +157,7 @@ def mergeable(facts: DataFrame, groups: DataFrame, explicit: bool = False) -> Da
 def grounding_score(facts: DataFrame, turns: DataFrame, config: Config = CONFIG) -> DataFrame:
     """One row: n_facts, n_superseded, n_quotes, n_grounded, n_fragments, passed. Quotes are sought in their own call."""
     q = facts.select("project", "feature", "ef_id", "source_id", "quote", "summary", "superseded_by").withColumn("k", F.concat_ws("\x01", "project", "feature", F.col("ef_id").cast("string")))
-    found = G.verbatim_lines(q.where("quote is not null"), "k", "quote", G.line_norms(turns), ["source_id"]).select("k", F.lit(True).alias("hit"))
+    found = G.verbatim_lines(q.where("quote is not null"), "k", "quote", G.line_norms(turns)).select("k", F.lit(True).alias("hit"))
     w = F.size(F.regexp_extract_all(F.coalesce("summary", F.lit("")), F.lit("[A-Za-z0-9']+"), F.lit(0)))
     out = q.join(found, "k", "left").agg(
         F.count("*").alias("n_facts"), F.count("superseded_by").alias("n_superseded"), F.count("quote").alias("n_quotes"), F.count("hit").alias("n_grounded"), F.count_if(w < config.fragment_words).alias("n_fragments"),

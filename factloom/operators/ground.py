@@ -1,8 +1,9 @@
 """Grounding: no quote without its place in the source.
 
-A quote is verbatim if its normal form is part of the normal form of a line, or of two successive lines.
-Candidates come from an equality join on a word 3-gram taken from inside the quote (such words are whole
-words of the line too), so no pair of a long call's quotes and lines is formed that shares nothing.
+A quote is verbatim if its normal form is part of the normal form of its call's lines, taken together in line order;
+it may run over any number of lines, whatever gaps their numbers have. Lines are ranked within their call. Words
+inside the quote are whole words of the call too, so candidates come from an equality join on the quote's rarest
+inner 3-gram of words (which may itself run over lines); texts are fetched for the few places so found, by rank.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,53 +23,114 @@ from factloom.runtime import checkpoint
 _TOKEN = "[a-z0-9]+"
 
 
+LINES_A_BLOCK = 100_000
+
+
 def _grams(tokens, n: int):
     """Hashes of all n-grams of a token array."""
     every = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " ")))
     return X.let(tokens, lambda t: F.when(F.size(t) >= n, every(t)).otherwise(F.array().cast("array<bigint>")))
 
 
-def line_norms(turns: DataFrame, pairs: bool = True) -> DataFrame:
-    """source_id, line_no, norm: the normal form of each line; with ``pairs`` of the line and the next one together, and own and next of each.
+def _gram(*tokens: str):
+    return F.xxhash64(F.concat_ws(" ", *tokens))
 
-    Lines are met with their successors by an equality join on the line number, not by a window over the call.
-    """
-    lines = turns.where("text is not null and source_id is not null").dropDuplicates(["source_id", "line_no"]).select("source_id", "line_no", "text")
-    if not pairs:
-        return lines.select("source_id", "line_no", X.normalise(F.col("text")).alias("norm"), X.normalise(F.col("text")).alias("own"), F.lit(None).cast("string").alias("next"))
-    nxt = lines.select("source_id", (F.col("line_no") - 1).alias("line_no"), F.col("text").alias("next"))
-    both = lines.join(nxt, ["source_id", "line_no"], "left")
-    return both.select("source_id", "line_no", X.normalise(F.concat_ws(" ", "text", "next")).alias("norm"), X.normalise(F.col("text")).alias("own"), X.normalise(F.col("next")).alias("next"))
 
+def line_norms(turns: DataFrame) -> DataFrame:
+    """source_id, line_no, rank, norm, start: the folded text of each line that is not blank.
 
-def verbatim_lines(quotes: DataFrame, key: str, quote: str, lines: DataFrame, on: list[str]) -> DataFrame:
+    rank counts the lines of a call that have words, in line order; a line without words shares the rank of the one
+    before. start is the number of characters of the call before the line, one blank between lines. Both come
+    from windows over blocks of line numbers and over one row per block.
+    """
+    lines = turns.where("text is not null and source_id is not null and line_no is not null").dropDuplicates(["source_id", "line_no"])
+    lines = lines.select("source_id", F.col("line_no").cast("int").alias("line_no"), X.folded(F.col("text")).alias("norm")).where("norm <> ''")
+    lines = lines.withColumns({"_blk": F.floor(F.col("line_no") / LINES_A_BLOCK), "_w": F.col("norm").rlike(_TOKEN).cast("long"), "_n": (F.length("norm") + 1).cast("long")})
+    inside = Window.partitionBy("source_id", "_blk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("source_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("source_id", "_blk").agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"))
+    blocks = blocks.select("source_id", "_blk", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_ranks"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_chars"))
+    ranked = lines.withColumns({"_r": F.sum("_w").over(inside), "_c": F.sum("_n").over(inside) - F.col("_n")}).join(blocks.hint("merge"), ["source_id", "_blk"])
+    return ranked.select("source_id", "line_no", (F.col("_r") + F.col("_ranks")).alias("rank"), "norm", (F.col("_c") + F.col("_chars")).alias("start"))
+
+
+def _postings(lines: DataFrame) -> DataFrame:
+    """source_id, g, rank: 3-grams of the words of each call, with the rank of the line each begins in. No texts."""
+    t = lines.select("source_id", "rank", F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0)).alias("t")).where(F.size("t") > 0)
+    inner = t.select("source_id", F.explode(_grams(F.col("t"), 3)).alias("g"), "rank")
+    head = t.select("source_id", (F.col("rank") - 1).alias("rank"), F.get("t", F.lit(0)).alias("a"), F.get("t", F.lit(1)).alias("b"))
+    # the second word after a line of one word is the first word of the line after that
+    after = head.select("source_id", (F.col("rank") - 1).alias("rank"), F.col("a").alias("c"))
+    head = head.join(after.hint("merge"), ["source_id", "rank"], "left").select("source_id", "rank", "a", F.coalesce("b", "c").alias("b"))
+    tail = t.select("source_id", "rank", F.when(F.size("t") > 1, F.element_at("t", -2)).alias("y"), F.element_at("t", -1).alias("z"))
+    edge = tail.join(head.hint("merge"), ["source_id", "rank"])
+    over = edge.select("source_id", F.explode(F.array(F.when(F.col("y").isNotNull(), _gram("y", "z", "a")), F.when(F.col("b").isNotNull(), _gram("z", "a", "b")))).alias("g"), "rank").where("g is not null")
+    return inner.union(over)
+
+
+def _words_with(short: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """_key, source_id, g: words of the call that hold the longest word of a quote of one or two words."""
+    longest = F.array_max(F.transform("_t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).getField("w")
+    q = short.select("_key", "source_id", longest.alias("_l")).withColumn("_c", F.substring("_l", 1, 3))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("word"), i, n))))
+    v = vocabulary.select("source_id", "word", F.explode(F.array_distinct(pieces)).alias("_c"))
+    return q.join(v.hint("merge"), ["source_id", "_c"]).where(F.expr("contains(word, _l)")).select("_key", "source_id", F.xxhash64("word").alias("g"))
+
+
+def _located(hits: DataFrame, lines: DataFrame, reach) -> DataFrame:
+    """Of hits(_key, source_id, _q, rank) those whose quote stands in the lines from the one before to ``reach`` after: adds line_no, where it begins."""
+    wanted = hits.withColumn("_at", F.explode(F.sequence(F.col("rank") - 1, F.col("rank") + reach)))
+    texts = lines.select("source_id", F.col("rank").alias("_at"), "line_no", "norm")
+    got = wanted.join(texts.hint("merge"), ["source_id", "_at"]).groupBy("_key", "source_id", "_q", "rank").agg(F.array_sort(F.collect_list(F.struct("line_no", "norm"))).alias("_l"))
+    got = got.withColumn("_p", F.expr("locate(_q, array_join(transform(_l, x -> x.norm), ' '))"))
+    # the line that holds character _p: lines are passed as long as they end before it
+    walk = F.aggregate("_l", F.struct(F.lit(0).alias("end"), F.lit(None).cast("int").alias("line")), lambda acc, x: F.struct((acc.end + F.length(x.norm) + 1).alias("end"), F.when(acc.end < F.col("_p"), x.line_no).otherwise(acc.line).alias("line")))
+    return got.withColumn("line_no", F.when(F.col("_p") > 0, walk.getField("line"))).drop("_l", "_p")
+
+
+def verbatim_lines(quotes: DataFrame, key: str, quote: str, lines: DataFrame) -> DataFrame:
     """(key, line_no): for each quote found verbatim, the first line that holds (or begins) it.
 
-    ``quotes`` has ``key``, ``on`` and the quote; ``lines`` has ``on``, line_no, norm, own and next. Quotes without letters or
-    digits are never verbatim. Quotes of one or two words can't be anchored inside; they are joined by call alone.
+    ``quotes`` has ``key``, source_id and the quote; ``lines`` is of ``line_norms``. Quotes without letters or digits are
+    never verbatim. Equal quotes of a call are sought once.
     """
-    q = quotes.select(F.col(key).alias("_key"), *on, X.normalise(F.col(quote)).alias("_q")).where("_q <> ''").distinct()
-    q = q.withColumn("_t", F.regexp_extract_all("_q", F.lit(_TOKEN), F.lit(0)))
-    long = q.where(F.size("_t") >= 5).withColumn("_g", F.xxhash64(F.array_join(F.slice("_t", 2, 3), " ")))
-    mid = q.where(F.size("_t").between(3, 4)).withColumn("_g", F.xxhash64(F.element_at("_t", 2)))
-    short = q.where(F.size("_t").between(1, 2))
-    tokens = F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0))
-    by_three = lines.select(*on, "line_no", "norm", "own", "next", F.explode(F.array_distinct(_grams(tokens, 3))).alias("_g"))
-    by_one = lines.join(mid.select(*on).distinct(), on, "left_semi").select(*on, "line_no", "norm", "own", "next", F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("_g"))
-    hits = [a.join(b, [*on, "_g"]) for a, b in ((long, by_three), (mid, by_one))] + [short.join(lines, on)]
-    found = None
-    for h in hits:
-        # a quote that lies wholly in the next line begins there
-        later = F.expr("not contains(own, _q) and coalesce(contains(next, _q), false)")
-        h = h.where(F.expr("contains(norm, _q)")).select("_key", (F.col("line_no") + F.when(later, 1).otherwise(0)).alias("line_no"))
-        found = h if found is None else found.union(h)
-    return found.groupBy(F.col("_key").alias(key)).agg(F.min("line_no").alias("line_no"))
+    q = quotes.select(F.col(key).alias("_id"), "source_id", X.normalise(F.col(quote)).alias("_q")).where(F.col("_q").rlike(_TOKEN)).withColumn("_key", F.xxhash64("source_id", "_q"))
+    q = checkpoint(q.distinct())
+    lines = checkpoint(lines)
+    one = q.groupBy("_key", "source_id", "_q").agg(F.lit(1)).select("_key", "source_id", "_q", F.regexp_extract_all("_q", F.lit(_TOKEN), F.lit(0)).alias("_t"))
+    # inner words are whole words of the call: 3-grams of them, or single ones where there are fewer than three
+    within = F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0)))
+    by_three = one.where(F.size("_t") >= 5).select("_key", "source_id", F.explode(F.array_distinct(_grams(within, 3))).alias("g"))
+    few = checkpoint(one.where(F.size("_t") < 5))
+    words = lines.join(few.select("source_id").distinct().hint("merge"), "source_id", "left_semi").select("source_id", F.explode(F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0))).alias("word"), "rank")
+    by_one = few.where(F.size("_t") >= 3).select("_key", "source_id", F.explode(F.array_distinct(F.transform(within, lambda w: F.xxhash64(w)))).alias("g"))
+    short = few.where(F.size("_t") <= 2)
+    held = _words_with(short, words.join(short.select("source_id").distinct().hint("merge"), "source_id", "left_semi").select("source_id", "word").distinct())
+    single = words.select("source_id", F.xxhash64("word").alias("g"), "rank").distinct()
+
+    def met(asked: DataFrame, postings: DataFrame, rarest: bool) -> DataFrame:
+        """_key, source_id, rank: places of the asked grams, of each quote's rarest one only if so wanted."""
+        kept = checkpoint(postings.join(asked.select("source_id", "g").distinct().hint("merge"), ["source_id", "g"], "left_semi"))
+        if rarest:
+            df = kept.groupBy("source_id", "g").agg(F.count("*").alias("df"))
+            # a gram the call doesn't have makes its quote hopeless
+            counted = asked.join(df.hint("merge"), ["source_id", "g"], "left").groupBy("_key", "source_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("m"))
+            asked = counted.where("m.df > 0").select("_key", "source_id", "m.g")
+        return asked.join(kept.hint("merge"), ["source_id", "g"]).select("_key", "source_id", "rank").distinct()
+
+    places = met(by_three, _postings(lines), True).union(met(by_one, single, True)).union(met(held, single, False))
+    hits = checkpoint(places.join(one.select("_key", "_q").hint("merge"), "_key"))
+    near = checkpoint(_located(hits, lines, F.lit(1)))
+    # only a quote of several words may run on further, over at most as many lines as it has words
+    far = _located(near.where("line_no is null").drop("line_no"), lines, F.size(F.regexp_extract_all("_q", F.lit(_TOKEN), F.lit(0))))
+    found = near.where("line_no is not null").union(far.where("line_no is not null")).groupBy("_key").agg(F.min("line_no").alias("line_no"))
+    return q.join(found.hint("merge"), "_key").select(F.col("_id").alias(key), "line_no")
 
 
 def ground(statements: DataFrame, turns: DataFrame, key: str) -> DataFrame:
     """Adds is_verbatim and quote_line to statements (with source_id, quote and a unique ``key``)."""
-    found = verbatim_lines(statements, key, "quote", line_norms(turns), ["source_id"])
-    out = statements.join(found.withColumnRenamed("line_no", "quote_line"), key, "left")
+    found = verbatim_lines(statements, key, "quote", line_norms(turns))
+    out = statements.join(found.withColumnRenamed("line_no", "quote_line").hint("merge"), key, "left")
     return out.withColumn("is_verbatim", F.col("quote_line").isNotNull())
 
 

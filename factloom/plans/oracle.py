@@ -207,8 +207,18 @@ ORACLE["candidate_spans"] = (
     "e AS (SELECT source_id, line_no, CAST(i - 1 AS INT) AS part, ps[i] AS span FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM k)) "
     "SELECT source_id, span, CAST(length(span) AS INT) AS n, line_no, part FROM (SELECT *, row_number() OVER (PARTITION BY source_id, span ORDER BY line_no, part) AS r FROM e) WHERE r = 1"
 )
-_PAIRS = f"(SELECT a.source_id, a.line_no, {norm('concat_ws(' + q(' ') + ', a.text, b.text)')} AS norm, {norm('a.text')} AS own, {norm('b.text')} AS nxt FROM {T} a LEFT JOIN {T} b ON a.source_id = b.source_id AND b.line_no = a.line_no + 1 WHERE a.text IS NOT NULL)"
-_GROUND = f"SELECT s.statement_id, min(l.line_no + CASE WHEN NOT contains(l.own, {norm('s.quote')}) AND coalesce(contains(l.nxt, {norm('s.quote')}), false) THEN 1 ELSE 0 END) AS quote_line FROM {S} s JOIN {_PAIRS} l ON s.source_id = l.source_id AND regexp_matches({norm('s.quote')}, '[a-z0-9]') AND contains(l.norm, {norm('s.quote')}) GROUP BY 1"
+# The whole call in one string; a quote is where it first stands in it, in the line that holds this character.
+_LINES = f"SELECT source_id, line_no, norm, sum(length(norm) + 1) OVER (PARTITION BY source_id ORDER BY line_no) - length(norm) AS start FROM (SELECT source_id, line_no, {folded('text')} AS norm FROM {T} WHERE text IS NOT NULL) WHERE norm <> ''"
+_CALLS = f"SELECT source_id, string_agg(norm, ' ' ORDER BY line_no) AS whole FROM ({_LINES}) GROUP BY 1"
+
+
+def _places(rows: str, key: str) -> str:
+    """(key, quote_line) of the rows whose quote stands in their call."""
+    sought = f"SELECT DISTINCT {key}, source_id, {norm('quote')} AS nq FROM {rows} WHERE quote IS NOT NULL"
+    return f"SELECT p.{key}, max(l.line_no) AS quote_line FROM (SELECT s.{key}, s.source_id, strpos(c.whole, s.nq) AS at FROM ({sought}) s JOIN ({_CALLS}) c USING (source_id) WHERE regexp_matches(s.nq, '[a-z0-9]') AND contains(c.whole, s.nq)) p JOIN ({_LINES}) l ON l.source_id = p.source_id AND l.start <= p.at GROUP BY 1"
+
+
+_GROUND = _places(S, "statement_id")
 ORACLE["ground_verbatim"] = f"SELECT s.statement_id, CAST(g.quote_line IS NOT NULL AS INT) AS is_verbatim, g.quote_line FROM {S} s LEFT JOIN ({_GROUND}) g USING (statement_id)"
 ORACLE["quote_times"] = f"SELECT s.statement_id, coalesce(t.ts, 'not available') AS ts FROM {S} s LEFT JOIN ({_GROUND}) g USING (statement_id) LEFT JOIN {T} t ON t.source_id = s.source_id AND t.line_no = g.quote_line"
 ORACLE["dedup_quotes"] = f"SELECT source_id, norm, seq, statement_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id, norm ORDER BY seq) AS r FROM (SELECT source_id, {norm('quote')} AS norm, seq, statement_id FROM {S} WHERE quote IS NOT NULL)) WHERE r = 1"
@@ -282,7 +292,7 @@ ORACLE["merged_areas"] = (
     f"UNION ALL SELECT project, feature, ef_id, superseded_by, summary FROM {FACTS} f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.project = f.project AND g.feature = f.feature)"
 )
 ORACLE["grounding_score"] = (
-    f"WITH f AS (SELECT *, row_number() OVER () AS k FROM {FACTS}), h AS (SELECT DISTINCT f.k FROM f JOIN {_PAIRS} l ON f.source_id = l.source_id AND regexp_matches({norm('f.quote')}, '[a-z0-9]') AND contains(l.norm, {norm('f.quote')})) "
+    f"WITH f AS (SELECT *, row_number() OVER () AS k FROM {FACTS}), h AS (SELECT k FROM ({_places('f', 'k')})) "
     f"SELECT count(*) AS n_facts, count(superseded_by) AS n_superseded, count(quote) AS n_quotes, (SELECT count(*) FROM h) AS n_grounded, count(*) FILTER (len(regexp_extract_all(coalesce(summary, ''), {q('[A-Za-z0-9' + chr(39) + ']+')})) < 4) AS n_fragments, CAST(count(quote) = (SELECT count(*) FROM h) AS INT) AS passed FROM f"
 )
 ORACLE["fact_lines"] = (

@@ -185,7 +185,7 @@ def reclassified(spark, d):
 def unbundled(spark, d):
     s = statements(spark, d, "source_id", "kind", "summary", "quote").where("quote is not null")
     parts = s.select("source_id", F.explode(X.clauses(F.col("quote"))).alias("c")).distinct().withColumn("k", F.concat_ws("\x01", "source_id", "c"))
-    found = ground.verbatim_lines(parts, "k", "c", ground.line_norms(turns(spark, d, "text")), ["source_id"]).select("k")
+    found = ground.verbatim_lines(parts, "k", "c", ground.line_norms(turns(spark, d, "text"))).select("k")
     own = s.select("statement_id", "source_id", F.explode(X.clauses(F.col("quote"))).alias("c")).withColumn("k", F.concat_ws("\x01", "source_id", "c")).join(found, "k").groupBy("statement_id").agg(F.collect_set(X.normalise(F.col("c"))).alias("known"))
     return C.unbundle(s.join(own, "statement_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))), F.col("known")).select("statement_id", "quote", "summary")
 
