@@ -91,7 +91,10 @@ def nnls(a: np.ndarray, b: np.ndarray, sweeps: int = 150) -> np.ndarray:
 
 
 def exact_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, each: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """Patterns (multiplicities per length) that fill a container: ``each`` per length, drawn along the histogram, ended exactly."""
+    """Patterns (multiplicities per length) that fill a container: ``each`` per length, drawn along the histogram, ended exactly.
+
+    A pattern takes as few documents as the lengths drawn allow, and at most 400; shorter texts are left to other
+    patterns and to the residual."""
     where = {int(v): i for i, v in enumerate(lengths)}
     share = counts / counts.sum()
     drawn = rng.choice(len(lengths), size=(len(lengths) * each, 400), p=share)
@@ -124,31 +127,38 @@ def exact_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, each:
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int, each: int = 3, rounds: int = 3, most_lengths: int = 500, seed: int = 5) -> list[tuple[int, dict[int, int]]]:
-    """(repeats, {length: number}) of patterns that hold the histogram exactly."""
+def plan(histogram: dict[int, int], capacity: int, most_patterns: int = 1500, fit: bool = True, seed: int = 5) -> list[tuple[int, dict[int, int]]]:
+    """(repeats, {length: number}) of patterns that hold the histogram exactly.
+
+    Every length takes part in every round; rounds go on as long as the fit places a fiftieth of the documents left. ``most_patterns`` bounds
+    the least-squares problem (each length starts one pattern at least), not the documents. ``fit=False`` packs all
+    as residuals, for comparison.
+    """
     left = {n: c for n, c in histogram.items() if c > 0}
     out: list[tuple[int, dict[int, int]]] = []
     if capacity in left:
         out.append((left.pop(capacity), {capacity: 1}))
     rng = np.random.default_rng(seed)
-    for _ in range(rounds):
-        common = sorted(sorted(left, key=lambda n: -left[n])[:most_lengths])
-        if len(common) < 2 or sum(left.values()) < 50:
-            break
-        lengths, counts = np.array(common), np.array([left[n] for n in common], float)
-        patterns = exact_patterns(lengths, counts, capacity, each, rng)
+    going = fit
+    while going and len(left) > 1:
+        placed, waiting = 0, sum(left.values())
+        lengths = np.array(sorted(left))
+        counts = np.array([left[n] for n in lengths.tolist()], float)
+        patterns = exact_patterns(lengths, counts, capacity, max(1, most_patterns // len(lengths)), rng)
         if not patterns:
             break
         a = np.stack(patterns, axis=1)
-        repeats = np.floor(nnls(a, counts)).astype(np.int64)
-        for j in np.argsort(-repeats):
+        repeats = np.floor(nnls(a, counts) + 1e-6).astype(np.int64)
+        for j in np.argsort(-repeats, kind="stable"):
             use = {int(lengths[i]): int(a[i, j]) for i in np.flatnonzero(a[:, j])}
             n = min([int(repeats[j])] + [left.get(v, 0) // k for v, k in use.items()])
             if n > 0:
                 out.append((n, use))
+                placed += n * sum(use.values())
                 for v, k in use.items():
                     left[v] -= n * k
         left = {n: c for n, c in left.items() if c > 0}
+        going = placed * 50 >= waiting
     # residual: best fit decreasing over the histogram, whole patterns at a time
     while left:
         room, use = capacity, {}
