@@ -42,6 +42,7 @@ LANGUAGE_NAMES = {
 MISSING = ("", "und", "xx", "zxx", "mul", "unk", "unknown", "none", "null", "n/a", "na", "?", "-")
 DIMENSIONS = 1 << 15
 MOST_WORDS = 500_000
+CHAINS_AT_ONCE = 128
 _TOKEN = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE_END = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*\s+|\s*[\r\n]+\s*)")
@@ -69,7 +70,7 @@ def features(word: str) -> list[int]:
     w = f"^{word}$"
     out = [f"w{word}", "b"]
     out += [f"p{word[:k]}" for k in (1, 2, 3) if len(word) > k] + [f"s{word[-k:]}" for k in (1, 2, 3, 4) if len(word) > k]
-    out += [f"g{w[i:i + 2]}" for i in range(min(len(w) - 1, 14))] + [f"t{w[i:i + 3]}" for i in range(min(len(w) - 2, 14))]
+    out += [f"g{w[i:i + 2]}" for i in range(len(w) - 1)] + [f"t{w[i:i + 3]}" for i in range(len(w) - 2)]
     out += [f"l{k}" for k in _LEXICON.get(word, ())] * 2
     out.append("c" + ("r" if "а" <= word[0] <= "я" or word[0] == "ё" else "a" if word.isascii() else "x"))
     return [zlib.crc32(f.encode()) % DIMENSIONS for f in out]
@@ -172,27 +173,35 @@ def train(rows: list[tuple[str, str]], steps: int = 60, rate: float = 0.3, l2: f
         chains.append([w for j in take for w in kept[j][0]])
         labels.append([kept[j][1] for j in take for _ in kept[j][0]])
     vocabulary: dict[str, int] = {}
-    n, longest, size = len(chains), max(map(len, chains)), len(LANGUAGES)
-    ids, gold, mask = np.zeros((n, longest), np.int64), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-    for c, (words, ls) in enumerate(zip(chains, labels)):
-        ids[c, : len(words)] = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-        gold[c, : len(words)] = ls
-        mask[c, : len(words)] = True
+    size = len(LANGUAGES)
+    # chains of like length are scored together, so that little is spent on padding
+    parts = []
+    by_length = sorted(range(len(chains)), key=lambda c: len(chains[c]))
+    for k in range(0, len(by_length), CHAINS_AT_ONCE):
+        group = by_length[k : k + CHAINS_AT_ONCE]
+        ids, gold, mask = (np.zeros((len(group), len(chains[group[-1]])), t) for t in (np.int64, np.int64, bool))
+        for g, c in enumerate(group):
+            ids[g, : len(chains[c])] = [vocabulary.setdefault(w, len(vocabulary)) for w in chains[c]]
+            gold[g, : len(chains[c])] = labels[c]
+            mask[g, : len(chains[c])] = True
+        parts.append((ids, gold, mask))
     feats = [features(w) for w in vocabulary]
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    sizes = np.array([len(f) for f in feats])
+    owner, first = np.repeat(np.arange(len(feats)), sizes), np.cumsum(sizes) - sizes
     flat = np.concatenate([np.array(f) for f in feats])
     weights, trans, start = np.zeros((DIMENSIONS, size)), np.eye(size) * 2.0, np.zeros(size)
     hw, ht = np.full_like(weights, 1e-2), np.full_like(trans, 1e-2)
     observed = np.zeros((size, size))
-    both = mask[:, 1:]
-    np.add.at(observed, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-    words_at, truth = ids[mask], gold[mask]
+    for _, gold, mask in parts:
+        both = mask[:, 1:]
+        np.add.at(observed, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+    words_at, truth = (np.concatenate([p[i][p[2]] for p in parts]) for i in (0, 1))
     total = len(words_at)
     for _ in range(steps):
-        scores = np.zeros((len(feats), size))
-        np.add.at(scores, owner, weights[flat])
-        gamma, expected = posteriors(scores[ids], mask, trans, start, pairs=True)
-        miss = -gamma[mask]
+        scores = np.add.reduceat(weights[flat], first, axis=0)
+        marginals, expected = zip(*[posteriors(scores[ids], mask, trans, start, pairs=True) for ids, _, mask in parts])
+        expected = sum(expected)
+        miss = -np.concatenate([g[p[2]] for g, p in zip(marginals, parts)])
         miss[np.arange(total), truth] += 1.0
         by_word = np.stack([np.bincount(words_at, miss[:, k], len(feats)) for k in range(size)], axis=1)
         grad = np.stack([np.bincount(flat, by_word[owner, k], DIMENSIONS) for k in range(size)], axis=1) / total - l2 * weights / 100
