@@ -95,6 +95,13 @@ def test_packing_plan():
     assert abs(x[0] - 3) < 1e-6 and x[1] == 0
 
 
+def test_the_fit_beats_plain_best_fit():
+    h = {int(k): int(v) for k, v in zip(*np.unique(np.random.default_rng(3).integers(450, 950, 20000), return_counts=True))}
+    bound = -(-sum(k * v for k, v in h.items()) // 2048)
+    fitted, plain = (sum(n for n, _ in packing.plan(h, 2048, fit=f)) for f in (True, False))
+    assert fitted <= 1.03 * bound and plain >= 1.08 * bound
+
+
 def test_packing(spark, data, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_SALT", 30)
     docs = table(spark, data, "documents").select("doc_id", "text").union(spark.createDataFrame([(10_001, None), (10_002, ""), (10_003, "long words 🙂 é " * 1500)], "doc_id bigint, text string"))
