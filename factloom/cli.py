@@ -49,7 +49,9 @@ def merge(spark: SparkSession, root: str, project: str, names: list[str]) -> lis
             found.append(hit)
     if len(found) >= 2:
         groups = spark.createDataFrame([(project, m, found[0], i) for i, m in enumerate(found)], "project string, feature string, target string, member_no int")
-        store.save(spark, root, {"facts": crossdoc.merge_areas(f, crossdoc.mergeable(f, groups, explicit=True)), "events": store.load(spark, root, "events")})
+        groups = crossdoc.mergeable(f, groups, explicit=True)
+        events = store.load(spark, root, "events")
+        store.save(spark, root, {"facts": crossdoc.merge_areas(f, groups), "events": crossdoc.merge_events(events, f, groups)})
     return found
 
 

@@ -47,7 +47,7 @@ ECHO_LEAD = r"^ *(?:yes|no|right|correct|understood|agreed|sure|okay|ok|exactly|
 ECHO_WORDS = 11
 ASPIRATION = [
     r"\bshould (?:just )?feel\b", r"\bfeels? (?:really |truly )?(?:effortless|seamless|premium|delightful|magical|intuitive|modern|slick|polished|snappy|smooth|clean|elegant|frictionless)\b",
-    r"\breally love\b", r"\blove (?:using )?(?:it|the (?:app|product|tool))\b", r"\b(?:best[- ]in|world)[- ]class\b", r"\bnot (?:just )?tolerate\b", r"\bpeople hate\b",
+    r"\breally love\b", r"\blove (?:using )?(?:it|the (?:app|product|tool))\b", r"\b(?:best[- ]in|world)[- ]class\b", r"\bnot (?:just )?tolerate\b", r"\bhate expense tools\b", r"\bpeople hate\b",
 ]
 MEASURABLE = r"[0-9]|\b(?:second|minute|hour|day|week|month|percent|kb|mb|gb|page|click|step|field|character)s?\b|%"
 _MEETING = "(?:session|meeting|call|sync|invite|slot|review|standup|stand-up|check-?in|checkpoint|catch-?up)"
@@ -56,23 +56,24 @@ _WEEKDAY = "(?:monday|tuesday|wednesday|thursday|friday)"
 LOGISTICS = [
     r"\bre-?schedul", rf"\b(?:move|push|shift|bump|change)\b[^.?!]{{0,40}}\b{_MEETING}\b", rf"\b(?:move|push|shift|bump)\b[^.?!]{{0,40}}\bto\b[^.?!]{{0,20}}\b(?:next week|{_WEEKDAY}|[0-9]{{1,2}} ?(?:am|pm)|[0-9]{{1,2}}[:.][0-9]{{2}})",
     r"\bsend\b[^.?!]{0,25}\b(?:an? )?invite\b", r"\bcalendar (?:hold|invite)\b", r"\bsame time next week\b", rf"\b(?:talk|see you|meet|catch up)\b[^.?!]{{0,15}}\b(?:next week|{_WEEKDAY}|then|soon)\b",
-    rf"\breview (?:the |those |them |it |that )*(?:{_DRAFTS} )?(?:next time|next week|later|then)\b", rf"\b{_DRAFTS}\b[^.?!]{{0,25}}\b(?:late|behind|delayed|slipped|not ready)\b",
-    r"\b(?:pick (?:this |it |that )?up|regroup) next (?:week|time)\b", r"\b(?:circle back|follow up|check back)\b[^.?!]{0,35}\bnext (?:week|time|call)\b",
+    r"\breview (?:the |those |them |it |that )*(?:(?:mockups?|wireframes?|designs?|prototypes?|deck|slides?) )?(?:next time|next week|later|then)\b", r"\bwe'?ll review (?:those|them|it|that)\b[^.?!]{0,25}\b(?:next|later|instead)\b", rf"\b{_DRAFTS}\b[^.?!]{{0,25}}\b(?:late|behind|delayed|slipped|not ready)\b",
+    r"\bpick (?:this |it |that )?up next (?:week|time)\b", r"\bregroup next week\b", r"\b(?:circle back|follow up|check back)\b[^.?!]{0,35}\bnext (?:week|time|call)\b",
     r"\b(?:i'?ll|will) (?:re-?)?(?:send|share|forward|circulate|email|drop|post)\b[^.?!]{0,35}\b(?:invite|calendar|note|outline|template|deck|link|spec|summary|minutes|recap|doc|document)s?\b",
     r"\b(?:i'?ll|will) (?:share|send|circulate|follow up|come back|circle back)\b[^.?!]{0,40}\b(?:after|following|by|before) (?:this|the|end of|next) (?:call|meeting|session|day|week)\b",
 ]
 _PARTY = "(?:we|they|the team|finance|legal|product|nobody|no one)"
-_DECIDED = "(?:decided|settled|agreed|determined|finali[sz]ed|chosen)"
+_DECIDED = "(?:decided|settled|agreed|determined|finali[sz]ed|chosen|nailed (?:it )?down)"
 UNDECIDED = [  # negation is required, unlike a bare "finance agreed ..."
-    rf"\b{_PARTY} (?:have|has|had|are|is)?(?: not|n't) (?:yet |been )*{_DECIDED}\b", rf"\b(?:haven't|hasn't|have not|has not|never) (?:yet |been )*{_DECIDED}\b", rf"\b(?:nobody|no one) (?:has |have )?(?:yet )?{_DECIDED}\b",
+    rf"\b{_PARTY} (?:have|has|had|are|is)?(?: not|n't) (?:yet |been )*{_DECIDED}\b", rf"\b(?:haven'?t|hasn'?t|have not|has not|never) (?:yet |been )*{_DECIDED}\b", rf"\b(?:nobody|no one) (?:has |have )?(?:yet )?{_DECIDED}\b",
     r"\bno (?:final )?decision\b", r"\b(?:still|currently) (?:open|undecided|tbd|under discussion|being discussed|in discussion|up in the air)\b", r"\bto be (?:decided|determined|confirmed)\b", r"\btbd\b", r"\bundetermined\b", r"\bopen (?:question|item)\b",
-    r"\bstill (?:checking|deciding|discussing|arguing|debating|working (?:it|this) out|figuring (?:it|this) out|to be worked out)\b", r"\bstill (?:being |under )?(?:checked|discussed|decided|reviewed)\b", r"\bnot (?:yet )?decided\b", r"\bdon't build (?:it|this|that) yet\b",
-    r"\bnot for (?:now|launch|v1|the mvp|version one)\b", r"\bkeep (?:it|this|that) in mind\b", r"\bpark(?:ed|ing)? (?:it|this)\b", r"\brevisit\b[^.?!]{0,30}\blater\b", r"\bdefer(?:red)?\b[^.?!]{0,15}\b(?:to|until)\b", r"\bplaceholder for now\b", r"\bremains? (?:undecided|undetermined|open)\b",
+    r"\bstill (?:checking|deciding|discussing|arguing|debating|working (?:it|this) out|figuring (?:it|this) out|to be worked out)\b", r"\bstill (?:being |under )?(?:checked|discussed|decided|reviewed)\b", r"\bnot (?:yet )?decided\b", r"\bdon'?t build (?:it|this|that) yet\b",
+    r"\bwe (?:might|may) (?:want to|do|add|build|introduce|consider|offer)\b[^.?!]{0,90}\bnot decided\b", r"\bnot for (?:now|launch|v1|the mvp|version one)\b", r"\bkeep (?:it|this|that) in mind\b", r"\bpark(?:ed|ing)? (?:it|this)\b", r"\brevisit\b[^.?!]{0,30}\blater\b", r"\bdefer(?:red)?\b[^.?!]{0,15}\b(?:to|until)\b", r"\bplaceholder for now\b", r"\bremains? (?:undecided|undetermined|open)\b",
 ]
 RESOLVES = [r"\b(?:resolv|clos|settl|answer)[a-z]+\b[^.?!]{0,25}\b(?:open question|last (?:week|call)|question|it|that)\b", r"\b(?:we|they) (?:have )?(?:decided|agreed|settled|confirmed)\b"]
+DECIDED_NOT = r"\b(?:we|they) (?:have )?(?:decided|agreed|settled|confirmed)\b[^.?!]{0,12}\bnot\b"  # settles nothing
 HEDGE = [
-    r"\bwe (?:may be |might be |are )?misaligned\b", r"\blet me check (?:with|on)\b", r"\bstill (?:checking|discussing|arguing|deciding|not sure)\b", r"\bwe (?:haven't|have not) (?:decided|settled|agreed)\b", r"\bnot (?:yet )?(?:sure|decided|settled)\b",
-    r"\bto be (?:decided|determined|confirmed)\b", r"\btbd\b", r"\bopen question\b", r"\bwe disagree\b", r"\bwe're not aligned\b", r"\bunder discussion\b", r"\bcircle back on\b", r"\brevisit (?:this|that) later\b", r"\bwe might want to\b", r"\bdon't build (?:it|that) yet\b", r"\bkeep (?:it|that) in mind for now\b",
+    r"\bwe (?:may be |might be |are )?misaligned\b", r"\blet me check (?:with|on)\b", r"\bstill (?:checking|discussing|arguing|deciding|not sure)\b", r"\bwe (?:haven'?t|have not) (?:decided|settled|agreed)\b", r"\bnot (?:yet )?(?:sure|decided|settled)\b",
+    r"\bto be (?:decided|determined|confirmed)\b", r"\btbd\b", r"\bopen question\b", r"\bwe disagree\b", r"\bwe'?re not aligned\b", r"\bunder discussion\b", r"\bcircle back on\b", r"\brevisit (?:this|that) later\b", r"\bwe might want to\b", r"\bdon'?t build (?:it|that) yet\b", r"\bkeep (?:it|that) in mind for now\b",
 ]
 VERBISH = r"\b(?:is|are|was|were|be|will|shall|should|must|can|may|need|have|has|want|allow|require|send|add|show|keep|make|use|get|give|set|pay|support|include|enter|submit|approve|reject|delegate|calculat|appear|retain|store|export|display|goes?|go|do|does)\b"
 NO_CHANGE = [
@@ -82,7 +83,7 @@ NO_CHANGE = [
 NARRATION = r"^(?:please )?(?:adjust|adjusted|maintain|maintained|retain|retained|keep|kept|clarif[a-z]+|discuss[a-z]+|noted?|decided?|agreed?|review[a-z]+|expand[a-z]+|introduc[a-z]+|reaffirm[a-z]+|reiterat[a-z]+|address[a-z]+|defin[a-z]+|establish[a-z]+|determin[a-z]+)\b"
 VAGUE_GAP = [
     r"\bfailure conditions?\b", r"\bedge cases?\b", r"\berror handling\b", r"\bcorner cases?\b", r"\bhow (?:is|are|will) (?:this|it|these|that) (?:be )?handled\b", r"\bwhat are the (?:requirements|rules|details|specifics|conditions|expectations|constraints|parameters)\b",
-    r"\bany(?: other| additional| further|thing else)\b", r"\b(?:further (?:details|clarification)|more (?:detail|information)|what else|is there anything)\b",
+    r"\bany(?: other| additional| further|thing else)\b", r"\b(?:further (?:details|clarification)|more (?:detail|information)|what (?:else|other things)|is there anything)\b",
 ]
 LIMIT_QUESTION = r"\b(?:maximum|minimum|max|min|how many|how much|what (?:is|are) the (?:limit|range|number|count))\b"
 STATED_RANGE = r"\b(?:one|two|three|four|five|ten|[0-9]+)\b[^.?!]{0,20}\b(?:to|-|through|and)\b[^.?!]{0,10}\b(?:one|two|three|four|five|ten|[0-9]+)\b|\bup to [0-9]+|\bbetween [a-z0-9]+ and [a-z0-9]+"

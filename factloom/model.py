@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from factloom.operators.fold import Row, Verdict, best_target
+from factloom.operators.fold import Active, Row, Verdict, best_target
 
 
 class TextModel(Protocol):
@@ -56,7 +56,8 @@ class ReplayModel:
 
 def checked(v: Verdict, active: list[Row]) -> Verdict:
     """A change of an unknown target is unclear; a duplicate of one has no target."""
-    if v.target is not None and all(f.ef_id != v.target for f in active):
+    held = active.by_id if isinstance(active, Active) else {f.ef_id for f in active}
+    if v.target is not None and v.target not in held:
         return Verdict("UNCLEAR" if v.verdict == "CHANGE" else v.verdict, None, v.reason)
     return v
 
@@ -127,7 +128,8 @@ def parse_merges(reply: str, names: list[str]) -> list[list[str]]:
     return out
 
 
-TRANSIENT = ("timed out", "connection reset", "connection refused", "temporarily", "502", "503", "504")
+# Messages of a serving process that are worth another try, and those of the network.
+TRANSIENT = ("compute error", "500", "llama runner process has terminated", "failed to decode", "cuda error", "timed out", "connection reset", "connection refused", "temporarily", "502", "503", "504")
 
 
 def with_retries(call: Callable[[], str], tries: int = 3, wait: float = 4.0, sleep: Callable[[float], None] = time.sleep) -> str:

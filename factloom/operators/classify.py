@@ -37,7 +37,8 @@ def is_aspiration(col: Column) -> Column:
 
 
 def resolves(col: Column) -> Column:
-    return _hits(col, L.RESOLVES)
+    """Wording that settles a question; "we decided ... not" settles nothing."""
+    return F.regexp_replace(X.folded(col), L.DECIDED_NOT, " ").rlike(L.any_of(L.RESOLVES))
 
 
 def is_undecided(col: Column) -> Column:
@@ -88,15 +89,16 @@ def reclassify(statements: DataFrame) -> DataFrame:
     return statements.withColumn("kind", F.when(is_aspiration(F.col("quote")) | is_undecided(both), "question").otherwise(F.col("kind")))
 
 
-def unbundle(statements: DataFrame, is_verbatim: Column) -> DataFrame:
+def unbundle(statements: DataFrame, is_verbatim: Column, part: str = "_at") -> DataFrame:
     """Facts whose quote packs several requirements, one row per part; ``parts`` must hold the quote's verbatim parts.
 
     ``is_verbatim`` is a column of an array of normalised parts that are known verbatim; a fact is split if two or
-    more of its clauses are in it and read like requirements. Each part's summary is the part itself.
+    more of its clauses are in it and read like requirements. Each part's summary is the part itself. ``part`` is the
+    name of a column for the number of the part, from 0.
     """
     parts = F.filter(X.clauses(F.col("quote")), lambda c: F.array_contains(is_verbatim, X.normalise(c)) & is_requirement_like(c))
     split = (F.col("kind") == "fact") & (F.size(parts) >= 2)
-    rows = statements.withColumn("_part", F.explode(F.when(split, parts).otherwise(F.array(F.col("quote")))))
+    rows = statements.select("*", F.posexplode(F.when(split, parts).otherwise(F.array(F.col("quote")))).alias(part, "_part"))
     whole = F.rtrim("_part", F.lit(".!?"))
     own = F.concat(F.upper(F.substring(whole, 1, 1)), F.substring(whole, F.lit(2), F.length(whole)), F.lit("."))
     return rows.withColumn("summary", F.when(split, own).otherwise(F.col("summary"))).withColumn("quote", F.col("_part")).drop("_part")

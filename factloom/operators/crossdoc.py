@@ -121,24 +121,44 @@ def top_documents(questions: DataFrame, key: str, text: str, docs: DataFrame, do
     return met.withColumn("rank", r).where(F.col("rank") <= config.top_documents).select(F.col("k").alias(key), F.col("d").alias(doc), "overlap", "rank")
 
 
-def merge_areas(facts: DataFrame, groups: DataFrame) -> DataFrame:
-    """Facts after areas were merged: groups(project, feature, target, member_no), the target itself among the members.
-
-    Ids are dealt anew over (member_no, ef_id) within the target and superseded_by is mapped along; areas outside
-    any group stay. Each fact is in the result once.
-    """
+def merge_ids(facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """project, feature, ef_id, target, new_id of the facts of merged areas: ids dealt anew over (member_no, ef_id) within the target."""
     g = groups.select("project", "feature", "target", "member_no").distinct()
-    inside = facts.join(g, ["project", "feature"])
+    inside = facts.select("project", "feature", "ef_id").distinct().join(g, ["project", "feature"])
     per = inside.groupBy("project", "target", "member_no").agg(F.count("*").alias("n"))
     before = per.select("project", "target", "member_no", F.coalesce(F.sum("n").over(Window.partitionBy("project", "target").orderBy("member_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("project", "target", "member_no").orderBy("ef_id"))
-    ids = inside.withColumn("own", own).join(before, ["project", "target", "member_no"]).withColumn("new_id", (F.col("own") + F.col("before")).cast("int"))
-    mapping = ids.select("project", "feature", F.col("ef_id").alias("superseded_by"), F.col("new_id").alias("new_superseded"))
-    moved = ids.join(mapping, ["project", "feature", "superseded_by"], "left")
-    moved = moved.select("project", F.col("target").alias("feature"), F.col("new_id").alias("ef_id"), F.col("new_superseded").alias("superseded_by"), *[c for c in facts.columns if c not in ("project", "feature", "ef_id", "superseded_by")])
+    ids = inside.withColumn("own", own).join(before, ["project", "target", "member_no"])
+    return ids.select("project", "feature", "ef_id", "target", (F.col("own") + F.col("before")).cast("int").alias("new_id"))
+
+
+def _mapped(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """df with ``column`` mapped from old to new ids of its (project, feature); ids that are not mapped stay."""
+    m = ids.select("project", "feature", F.col("ef_id").alias(column), F.col("new_id").alias("_new"))
+    return df.join(m.hint("merge"), ["project", "feature", column], "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def merge_areas(facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Facts after areas were merged: groups(project, feature, target, member_no), the target itself among the members.
+
+    superseded_by is mapped along; areas outside any group stay. Each fact is in the result once.
+    """
+    g = groups.select("project", "feature", "target").distinct()
+    ids = merge_ids(facts, groups)
+    moved = _mapped(_mapped(facts.join(g.select("project", "feature"), ["project", "feature"], "left_semi"), ids, "superseded_by"), ids, "ef_id")
+    moved = moved.join(g.hint("merge"), ["project", "feature"]).withColumn("feature", F.col("target"))
     return facts.join(g.select("project", "feature"), ["project", "feature"], "left_anti").unionByName(moved.select(*facts.columns))
 
 
+def merge_events(events: DataFrame, facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Events (questions and log) after the same merge: they follow their facts into the target, with the new ids. Repeated log lines count once."""
+    g = groups.select("project", "feature", "target").distinct()
+    ids = merge_ids(facts, groups)
+    moved = _mapped(_mapped(events.join(g.select("project", "feature"), ["project", "feature"], "left_semi"), ids, "other_ef_id"), ids, "ef_id")
+    moved = moved.join(g.hint("merge"), ["project", "feature"]).withColumn("feature", F.col("target")).select(*events.columns).distinct()
+    return events.join(g.select("project", "feature"), ["project", "feature"], "left_anti").unionByName(moved)
+
+
 def mergeable(facts: DataFrame, groups: DataFrame, explicit: bool = False) -> DataFrame:
     """Groups that may be merged: members share a word of name and first summary with the target, and at most one has several facts.
 
@@ -230,8 +250,8 @@ def story_problem(stories: DataFrame, facts: DataFrame) -> DataFrame:
     return out.select("project", "feature", F.when(number, "invented number").when(F.col("name").isNotNull(), F.concat(F.lit("invented proper noun: "), F.col("name"))).when(left_out, F.concat(F.lit("leaves "), F.col("missed").cast("string"), F.lit(" fact(s) out"))).alias("problem"))
 
 
-def filter_gaps(gaps: DataFrame, facts: DataFrame, existing: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Usable gap questions, two per area: gaps(project, feature, gap_no, question, refs array<int>), existing(project, feature, text).
+def filter_gaps(gaps: DataFrame, facts: DataFrame, existing: DataFrame, config: Config = CONFIG, used: DataFrame | None = None) -> DataFrame:
+    """Usable gap questions, two per area over its whole life, those of ``used``(project, feature, n_gaps) counted: gaps(project, feature, gap_no, question, refs array<int>), existing(project, feature, text).
 
     Kept: some cited fact is active; shares a word with the area's facts; adds one to the cited facts; doesn't ask for
     a limit they state; isn't boilerplate; shares fewer than two topic words with an item already open.
@@ -248,4 +268,6 @@ def filter_gaps(gaps: DataFrame, facts: DataFrame, existing: DataFrame, config:
     topic = g.select("project", "feature", "gap_no", F.explode(X.merge_words(F.col("question"))).alias("w")).join(items, ["project", "feature", "w"]).groupBy("project", "feature", "gap_no", "item").agg(F.count("*").alias("n")).where("n >= 2")
     g = g.join(near, ["project", "feature", "gap_no"], "left_semi").join(topic.select("project", "feature", "gap_no").distinct(), ["project", "feature", "gap_no"], "left_anti")
     g = g.groupBy("project", "feature", F.lower("question").alias("low")).agg(F.min_by(F.struct("gap_no", "question", "valid"), "gap_no").alias("x")).select("project", "feature", "x.*")
-    return g.withColumn("r", F.row_number().over(Window.partitionBy("project", "feature").orderBy("gap_no"))).where(F.col("r") <= config.top_gaps).select("project", "feature", "question", F.col("valid").alias("refs"))
+    g = g.withColumn("n_gaps", F.lit(0).cast("long")) if used is None else g.join(used.select("project", "feature", "n_gaps"), ["project", "feature"], "left")
+    r = F.row_number().over(Window.partitionBy("project", "feature").orderBy("gap_no"))
+    return g.withColumn("r", r).where(F.col("r") + F.coalesce("n_gaps", F.lit(0)) <= config.top_gaps).select("project", "feature", "question", F.col("valid").alias("refs"))

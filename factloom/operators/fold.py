@@ -9,7 +9,7 @@ log and counters are projections of the events.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
@@ -52,6 +52,46 @@ class Verdict:
     reason: str = ""
 
 
+class Active(Sequence):
+    """The active facts of an area in order, indexed by word, so that a statement meets only facts it shares words with."""
+
+    def __init__(self, rows: Iterable[Row] = ()) -> None:
+        self.rows: dict[int, Row] = {}
+        self.places: dict[int, int] = {}
+        self.by_word: dict[str, set[int]] = {}
+        self.by_id: dict[int, Row] = {}
+        self.next = 0
+        for r in rows:
+            self.add(r)
+
+    def add(self, row: Row) -> None:
+        self.rows[self.next], self.places[id(row)] = row, self.next
+        for w in row.words:
+            self.by_word.setdefault(w, set()).add(self.next)
+        self.by_id.setdefault(row.ef_id, row)
+        self.next += 1
+
+    def remove(self, row: Row) -> None:
+        at = self.places.pop(id(row))
+        del self.rows[at]
+        for w in row.words:
+            self.by_word[w].discard(at)
+        if self.by_id.get(row.ef_id) is row:
+            del self.by_id[row.ef_id]
+
+    def shares_word(self, words: Iterable[str]) -> bool:
+        return any(self.by_word.get(w) for w in words)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self):
+        return iter(self.rows.values())
+
+    def __getitem__(self, i):
+        return list(self.rows.values())[i]
+
+
 @dataclass
 class Ledger:
     """The facts of one area while statements arrive."""
@@ -65,9 +105,7 @@ class Ledger:
     def __post_init__(self) -> None:
         self.quotes = {f.norm for f in self.facts}
         self.last_id = max((f.ef_id for f in self.facts), default=0)
-
-    def active(self) -> list[Row]:
-        return [f for f in self.facts if f.superseded_by is None]
+        self.active = Active(f for f in self.facts if f.superseded_by is None)
 
     def emit(self, event: str, s: Row, ef_id: int | None = None, other: int | None = None, reason: str = "", was: str | None = None, adds: bool = False) -> None:
         self.events.append({
@@ -79,6 +117,7 @@ class Ledger:
         self.last_id += 1
         s.ef_id, s.superseded_by = self.last_id, None
         self.facts.append(s)
+        self.active.add(s)
         self.quotes.add(s.norm)
         return s.ef_id
 
@@ -89,21 +128,21 @@ class Ledger:
             return self.emit("unverified", s)
         if s.norm in self.quotes:
             return self.emit("restated", s, reason="the quote is recorded")
-        active = self.active()
+        active = self.active
         if not active:
             if s.no_change:
                 return self.emit("dropped", s, reason="confirms what is not recorded")
             return self.emit("new", s, self.add(s), adds=True)
-        if not s.no_change and not any(s.words & f.words for f in active):
+        if not s.no_change and not active.shares_word(s.words):
             return self.emit("new", s, self.add(s), adds=True)
         v = self.verdict_of(s, active)
-        target = next((f for f in active if f.ef_id == v.target), None)
+        target = active.by_id.get(v.target)
         if v.verdict == "NEW":
             return self.emit("new", s, self.add(s), reason=v.reason, adds=True)
         if v.verdict == "DUPLICATE" and target:
             return self.emit("restated", s, other=target.ef_id, reason=v.reason)
         if v.verdict == "CHANGE" and target:
-            return self.change(s, target, active, v.reason)
+            return self.change(s, target, v.reason)
         if s.no_change:
             return self.emit("restated", s, reason="re-confirmed")
         return self.emit("review", s, reason=v.reason or "unclear")
@@ -117,11 +156,11 @@ class Ledger:
         self.asked.append(s.norm)
         return self.emit("question", s)
 
-    def change(self, s: Row, target: Row, active: list[Row], reason: str) -> None:
+    def change(self, s: Row, target: Row, reason: str) -> None:
         if s.no_change and not s.numbers - target.numbers:
             return self.emit("restated", s, other=target.ef_id, reason="re-confirmed")
         same_call = s.source_id == target.source_id
-        aim = best_target(s.words, active)
+        aim = best_target(s.words, self.active)
         if aim is None and s.words & target.words:
             aim = target
         new_id = self.add(s)
@@ -131,23 +170,27 @@ class Ledger:
             return self.emit("review", s, new_id, target.ef_id, "no shared wording", adds=True)
         if aim.multipart and len(s.numerals & aim.numerals) < len(aim.numerals):
             return self.emit("review", s, new_id, aim.ef_id, "updates part of it", adds=True)
+        self.active.remove(aim)
         aim.superseded_by = new_id
         note = reason if aim is target else f"re-aimed from {target.ef_id}"
         return self.emit("changed", s, new_id, aim.ef_id, note, was=aim.quote, adds=True)
 
 
-def best_target(words: frozenset, active: list[Row]) -> Row | None:
+def best_target(words: frozenset, active: Sequence[Row]) -> Row | None:
     """The active fact that shares most words, those in more than half of three or more facts aside.
 
     Two shared words are enough, ties to the larger id; a single one only if no other fact shares one.
     """
-    df = Counter(w for f in active for w in f.words)
-    ambient = {w for w, n in df.items() if n * 2 > len(active)} if len(active) > 2 else set()
-    mine = words - ambient
-    score, _, best = max(((len(mine & f.words), f.ef_id, f) for f in active), key=lambda x: x[:2])
-    if score >= 2 or score == 1 and sum(bool(mine & f.words) for f in active) == 1:
-        return best
-    return None
+    held = active if isinstance(active, Active) else Active(active)
+    met: Counter[int] = Counter()
+    for w in words:
+        at = held.by_word.get(w, ())
+        if len(held) <= 2 or len(at) * 2 <= len(held):
+            met.update(at)
+    if not met:
+        return None
+    best = max(met, key=lambda k: (met[k], held.rows[k].ef_id, -k))
+    return held.rows[best] if met[best] >= 2 or len(met) == 1 else None
 
 
 def fold(facts: list[Row], statements: Iterable[Row], verdict_of: Callable[[Row, list[Row]], Verdict], known_questions: set | None = None) -> list[dict]:

@@ -232,7 +232,7 @@ def by_letters(q: DataFrame, key: str, s: DataFrame, t: float) -> DataFrame:
 
 
 def snap(quotes: DataFrame, key: str, spans: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """(key, span, score): the most similar span of the same call for each ungrounded quote, if similar enough.
+    """(key, span, score, span_line): the most similar span of the same call for each ungrounded quote, if similar enough.
 
     Ties go to the longer span, then to the earlier one. Spans similar by words share one of the words of the
     prefix that any span of the needed word ratio must meet (rarest words first; a repeated word counts as often
@@ -257,7 +257,7 @@ def snap(quotes: DataFrame, key: str, spans: DataFrame, config: Config = CONFIG)
     scored = met.where(2 * F.least(wa, wb) / (wa + wb) >= t).withColumn("score", _similarity("q", "norm")).where(F.col("score") >= t).select(key, "score", "n", "line_no", "part", "span")
     scored = scored.unionByName(by_letters(q, key, s, t))
     best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "line_no", "part", "span")).alias("b"))
-    return best.select(key, F.col("b.span").alias("span"), (-F.col("b.s")).alias("score"))
+    return best.select(key, F.col("b.span").alias("span"), (-F.col("b.s")).alias("score"), F.col("b.line_no").alias("span_line"))
 
 
 def snap_quotes(statements: DataFrame, turns: DataFrame, key: str, config: Config = CONFIG) -> DataFrame:
@@ -265,9 +265,9 @@ def snap_quotes(statements: DataFrame, turns: DataFrame, key: str, config: Confi
     g = ground(statements.drop("verified", "match_score", "quote_as_extracted"), turns, key)
     missed = g.where(~F.col("is_verbatim"))
     near = snap(missed, key, candidate_spans(turns), config)
-    out = g.join(near, key, "left")
+    out = g.join(near.hint("merge"), key, "left")
     return out.select(
-        *[c for c in g.columns if c not in ("quote", "is_verbatim")], F.col("quote").alias("quote_as_extracted"), F.when(F.col("is_verbatim"), F.btrim("quote", F.lit(' "'))).otherwise(F.coalesce("span", "quote")).alias("quote"),
+        *[c for c in g.columns if c not in ("quote", "is_verbatim", "quote_line")], F.coalesce("quote_line", "span_line").alias("quote_line"), F.col("quote").alias("quote_as_extracted"), F.when(F.col("is_verbatim"), F.btrim("quote", F.lit(' "'))).otherwise(F.coalesce("span", "quote")).alias("quote"),
         (F.col("is_verbatim") | F.col("span").isNotNull()).alias("verified"), F.when(F.col("is_verbatim"), 1.0).otherwise(F.col("score")).alias("match_score"),
     )
 
@@ -279,6 +279,15 @@ def backfill_ts(statements: DataFrame, turns: DataFrame, key: str) -> DataFrame:
     return g.join(stamps, ["source_id", "quote_line"], "left").withColumn("ts", F.coalesce("line_ts", F.lit("not available"))).drop("line_ts", "is_verbatim")
 
 
+def verbatim_clauses(statements: DataFrame, turns: DataFrame, key: str) -> DataFrame:
+    """Adds known: the normal forms of those clauses of the quote that are verbatim in the call. Only quotes of several clauses are looked at."""
+    own = statements.select(key, "source_id", F.explode(X.clauses(F.col("quote"))).alias("c"), F.size(X.clauses(F.col("quote"))).alias("n")).where("n > 1")
+    own = own.select(key, "source_id", "c", F.xxhash64("source_id", X.normalise(F.col("c"))).alias("_c"))
+    found = verbatim_lines(own.select("_c", "source_id", "c"), "_c", "c", line_norms(turns)).select("_c").distinct()
+    known = own.join(found.hint("merge"), "_c", "left_semi").groupBy(key).agg(F.collect_set(X.normalise(F.col("c"))).alias("known"))
+    return statements.join(known.hint("merge"), key, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+
+
 def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row (smallest ``order``) of each key; by aggregation, so a hot key is reduced before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

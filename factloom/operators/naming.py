@@ -12,22 +12,25 @@ from factloom.operators.graph import connected_components
 from factloom.runtime import checkpoint
 
 
-def route_names(names: DataFrame, name: str, known: DataFrame, known_name: str, order: str, config: Config = CONFIG) -> DataFrame:
+def route_names(names: DataFrame, name: str, known: DataFrame, known_name: str, order: str, config: Config = CONFIG, scope: str | None = None) -> DataFrame:
     """(name, routed, score): each distinct name with the known one it plainly means, else itself.
 
+    With ``scope``, a column of both sides that is in the result too, names meet known ones of their scope only.
+
     Score: Jaccard of the routing words, or containment in the smaller set unless the names share one word
     and neither contains the other. ``order`` ranks the known names; of equal scores the first wins. Pairs
     are formed by an equality join on a shared word.
     """
-    a = names.select(F.col(name).alias("a")).where("a is not null").distinct().withColumn("wa", X.feature_words(F.col("a")))
-    b = known.select(F.col(known_name).alias("b"), F.col(order).alias("o")).where("b is not null").distinct().withColumn("wb", X.feature_words(F.col("b")))
-    met = a.select("a", "wa", F.explode("wa").alias("w")).join(b.select("b", "o", "wb", F.explode("wb").alias("w")), "w").groupBy("a", "b", "o").agg(F.count("*").alias("n"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
+    group = F.col(scope) if scope else F.lit("")
+    a = names.select(group.alias("_g"), F.col(name).alias("a")).where("a is not null").distinct().withColumn("wa", X.feature_words(F.col("a")))
+    b = known.select(group.alias("_g"), F.col(known_name).alias("b"), F.col(order).alias("o")).where("b is not null").distinct().withColumn("wb", X.feature_words(F.col("b")))
+    met = a.select("_g", "a", "wa", F.explode("wa").alias("w")).join(b.select("_g", "b", "o", "wb", F.explode("wb").alias("w")), ["_g", "w"]).groupBy("_g", "a", "b", "o").agg(F.count("*").alias("n"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
     na, nb = F.size("wa"), F.size("wb")
     jaccard, contained = F.col("n") / (na + nb - F.col("n")), F.col("n") / F.least(na, nb)
     subset = F.col("n") == F.least(na, nb)
     met = met.withColumn("score", F.when((F.col("n") == 1) & ~subset, jaccard).otherwise(F.greatest(jaccard, contained))).where(F.col("score") >= config.route_similarity)
-    best = met.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "o", "b")).alias("x"))
-    return a.join(best, "a", "left").select(F.col("a").alias(name), F.coalesce("x.b", "a").alias("routed"), (-F.col("x.s")).alias("score"))
+    best = met.groupBy("_g", "a").agg(F.min(F.struct((-F.col("score")).alias("s"), "o", "b")).alias("x"))
+    return a.join(best, ["_g", "a"], "left").select(*([F.col("_g").alias(scope)] if scope else []), F.col("a").alias(name), F.coalesce("x.b", "a").alias("routed"), (-F.col("x.s")).alias("score"))
 
 
 def canonical_names(names: DataFrame, scope: str, name: str, config: Config = CONFIG) -> DataFrame:

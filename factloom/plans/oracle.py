@@ -111,9 +111,10 @@ def n_words(x: str) -> str:
 
 def classifier(name: str, x: str) -> str:
     f = folded(x)
+    settled = f"regexp_matches(regexp_replace({f}, {q(L.DECIDED_NOT)}, ' ', 'g'), {q(L.any_of(L.RESOLVES))})"
     return {
         "banter": hits(x, L.BANTER), "echo": f"(regexp_matches({f}, {q(L.ECHO_LEAD)}) AND {n_words(x)} <= {L.ECHO_WORDS})", "logistics": hits(x, L.LOGISTICS),
-        "aspiration": f"({hits(x, L.ASPIRATION)} AND NOT regexp_matches({f}, {q(L.MEASURABLE)}))", "undecided": f"({hits(x, L.UNDECIDED)} AND NOT {hits(x, L.RESOLVES)})", "resolves": hits(x, L.RESOLVES), "hedge": hits(x, L.HEDGE),
+        "aspiration": f"({hits(x, L.ASPIRATION)} AND NOT regexp_matches({f}, {q(L.MEASURABLE)}))", "undecided": f"({hits(x, L.UNDECIDED)} AND NOT {settled})", "resolves": settled, "hedge": hits(x, L.HEDGE),
         "requirement": f"(len(regexp_extract_all({f}, {q('[a-z0-9' + chr(39) + ']+')})) >= 5 AND regexp_matches({f}, {q(L.VERBISH)}))", "no_change": hits(x, L.NO_CHANGE), "narration": f"regexp_matches({f}, {q(L.NARRATION)})", "vague_gap": hits(x, L.VAGUE_GAP),
     }[name]
 
