@@ -203,6 +203,7 @@ def fold(facts: list[Row], statements: Iterable[Row], verdict_of: Callable[[Row,
     return ledger.events
 
 
+EVENT_COLUMNS = [c.split()[0] for c in schemas.EVENTS.split(", ")]
 FEATURES = ["norm", "words", "numbers", "numerals", "multipart", "no_change"]
 
 
@@ -313,11 +314,14 @@ def change_log(events: DataFrame) -> DataFrame:
 
 
 def open_items(events: DataFrame) -> DataFrame:
-    """Open questions, unverified citations and items to review."""
+    """Open questions, unverified citations and items to review; questions that were answered carry another tag and a pointer."""
     tags = {"question": "OPEN QUESTION", "unverified": "UNVERIFIED CITATION", "review": "NEEDS REVIEW"}
     tag = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])
-    q = events.where(F.col("event_type").isin(*tags))
-    return q.select("project", "feature", F.concat_ws("-", F.lit("Q"), F.col("call_date").cast("string"), "source_id", X.slug(F.col("feature")), F.col("seq").cast("string")).alias("q_id"), F.try_element_at(tag, F.col("event_type")).alias("tag"), "summary", "quote", "speaker", "source_id", "call_date", F.array_compact(F.array("ef_id", "other_ef_id")).alias("refs"))
+    q = events.where(F.col("event_type").isin(*tags)).withColumn("_n", X.normalise(F.col("quote")))
+    done = events.where("event_type = 'resolved'").groupBy("project", "feature", "source_id", X.normalise(F.col("quote")).alias("_n")).agg(F.min("reason").alias("_by")).withColumn("event_type", F.lit("question"))
+    q = q.join(done.hint("merge"), ["project", "feature", "source_id", "_n", "event_type"], "left")
+    body = F.when(F.col("_by").isNotNull(), F.concat(F.coalesce("summary", F.lit("")), F.lit(" (answered by "), "_by", F.lit(")"))).otherwise(F.col("summary"))
+    return q.select("project", "feature", F.concat_ws("-", F.lit("Q"), F.col("call_date").cast("string"), "source_id", X.slug(F.col("feature")), F.col("seq").cast("string")).alias("q_id"), F.when(F.col("_by").isNotNull(), "RESOLVED").otherwise(F.try_element_at(tag, F.col("event_type"))).alias("tag"), body.alias("summary"), "quote", "speaker", "source_id", "call_date", F.array_compact(F.array("ef_id", "other_ef_id")).alias("refs"))
 
 
 def version_chain(facts: DataFrame) -> DataFrame:

@@ -71,20 +71,21 @@ def ambient_words(df: DataFrame, group: list[str], row: str, words: str, share:
     return document_frequency(df, group, row, words).where((F.col("n_rows") > F.col("group_rows") * share) & (F.col("group_rows") > least_rows))
 
 
-def cohesion_split(statements: DataFrame, area: str, row: str, summary: str, config: Config = CONFIG) -> DataFrame:
+def cohesion_split(statements: DataFrame, area: str, row: str, summary: str, config: Config = CONFIG, name: str | None = None) -> DataFrame:
     """(area, row, cluster, new_area): statements of areas that are really several topics, with their new names.
 
     Two statements belong together if they share a link word; statements and words form a bipartite graph,
     so its components need no pairs. An area of ``split_statements`` or more is split if it has two components
     or more and either is a catch-all or has two components of two statements; a catch-all that holds together
-    only through words in more than half of its statements is tried again without these.
+    only through words in more than half of its statements is tried again without these. ``name`` is the column of
+    the area's name, where ``area`` says more (its project, say).
     """
-    s = statements.select(F.col(area).alias("area"), F.col(row).alias("row"), F.col(summary).alias("summary")).where("area is not null and summary is not null").distinct()
+    s = statements.select(F.col(area).alias("area"), F.col(row).alias("row"), F.col(summary).alias("summary"), F.col(name or area).alias("name")).where("area is not null and summary is not null").distinct()
     size = s.groupBy("area").agg(F.countDistinct("row").alias("n")).where(F.col("n") >= config.split_statements)
     s = s.join(size, "area").withColumn("w", X.link_words(F.col("summary")))
     freq = document_frequency(s, ["area"], "row", "w")
     common = freq.where(F.col("n_rows") > F.col("group_rows") * 0.5).select("area", "word")
-    s = s.withColumn("dump", X.is_dump_area(F.col("area")))
+    s = s.withColumn("dump", X.is_dump_area(F.col("name")))
     links = s.select("area", "row", F.explode("w").alias("word"))
 
     def parts(pairs: DataFrame, rows: DataFrame) -> DataFrame:

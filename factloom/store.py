@@ -1,11 +1,15 @@
-"""The knowledge store: parquet tables written as whole versions, and Markdown as an exchange format.
+"""The knowledge store: parquet tables in versions, and Markdown as an exchange format.
 
-A version is written to its own folder and becomes current by one small pointer file written last, so a
-failed run leaves the former state as it was.
+A version is a small manifest that lists the folders its tables consist of. Manifests are numbered, written aside and
+renamed into place last; the one with the highest number is the current state, so a run that fails at any point leaves
+the former state as it was. A run adds a folder of its own events, and rewrites the facts of only those buckets of
+projects that its events touch; the other folders are carried over.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +18,9 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.functions import text as X
 
+BUCKETS = 64
+MOST_FOLDERS = 200
+"""Folders of events from which they are rewritten as one."""
 TABLES = {"facts": schemas.FACTS, "events": schemas.EVENTS}
 
 
@@ -23,40 +30,96 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    fs, p = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(p):
-        return None
+def _manifests(spark: SparkSession, root: str) -> list[int]:
+    fs, p = _fs(spark, f"{root}/manifests")
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[:12]) for n in names if re.fullmatch(r"\d{12}\.json", n))
+
+
+def current(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Table -> folders of the current state; empty if there is none."""
+    numbers = _manifests(spark, root)
+    if not numbers:
+        return {}
+    fs, p = _fs(spark, f"{root}/manifests/{numbers[-1]:012d}.json")
     stream = fs.open(p)
     try:
-        return bytes(stream.readAllBytes()).decode().strip()
+        return json.loads(bytes(stream.readAllBytes()).decode())
     finally:
         stream.close()
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the current version; empty if there is none."""
-    version = current_version(spark, root)
-    if version is None:
+    """A table of the current state; empty if there is none."""
+    folders = current(spark, root).get(name, [])
+    if not folders:
         return spark.createDataFrame([], TABLES[name])
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{version}/{name}")
+    return spark.read.schema(TABLES[name]).parquet(*[f"{root}/{f}" for f in folders])
+
+
+def _put(spark: SparkSession, root: str, tables: dict[str, list[str]]) -> None:
+    """Makes a state current: the manifest is written aside and renamed to the next number, which fails if another run has taken it."""
+    fs, staged = _fs(spark, f"{root}/manifests/staged-{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    out.write(bytearray(json.dumps(tables).encode()))
+    out.close()
+    number = (_manifests(spark, root) or [0])[-1] + 1
+    _, target = _fs(spark, f"{root}/manifests/{number:012d}.json")
+    if fs.exists(target) or not fs.rename(staged, target):
+        raise RuntimeError("another run has changed the store meanwhile")
+
+
+def _columns(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*[c.split()[0] for c in TABLES[name].split(", ")])
+
+
+def bucket(project):
+    return F.pmod(F.xxhash64(F.coalesce(project, F.lit(""))), F.lit(BUCKETS)).cast("int")
 
 
 def save(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Writes all tables as a new version and makes it current; returns its name."""
+    """Writes whole tables as a new state and makes it current; returns the name of its folder."""
     version = f"v-{uuid.uuid4().hex[:12]}"
+    state = dict(current(spark, root))
     for name, df in tables.items():
-        df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.parquet(f"{root}/{version}/{name}")
-    fs, staged = _fs(spark, f"{root}/CURRENT.{version}")
-    out = fs.create(staged, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    _, target = _fs(spark, f"{root}/CURRENT")
-    fs.delete(target, False)
-    fs.rename(staged, target)
+        df = _columns(df, name)
+        if name == "facts":
+            df.withColumn("bucket", bucket(F.col("project"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{version}/{name}")
+            state[name] = _parts(spark, root, f"{version}/{name}")
+        else:
+            df.write.parquet(f"{root}/{version}/{name}")
+            state[name] = [f"{version}/{name}"]
+    _put(spark, root, state)
     return version
 
 
+def _parts(spark: SparkSession, root: str, folder: str) -> list[str]:
+    fs, p = _fs(spark, f"{root}/{folder}")
+    return sorted(f"{folder}/{x.getPath().getName()}" for x in fs.listStatus(p) if x.getPath().getName().startswith("bucket="))
+
+
+def append(spark: SparkSession, root: str, events: DataFrame, facts: DataFrame) -> bool:
+    """Adds a run: its events, and the facts as they are after it, of which only the touched buckets are written.
+
+    A run without events changes nothing. Returns whether a new state was made.
+    """
+    touched = sorted(r[0] for r in events.select(bucket(F.col("project")).alias("b")).distinct().collect())  # BUCKETS rows at most
+    if not touched:
+        return False
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    state = current(spark, root)
+    log = state.get("events", []) + [f"{version}/events"]
+    _columns(events, "events").write.parquet(f"{root}/{version}/events")
+    if len(log) > MOST_FOLDERS:
+        spark.read.schema(TABLES["events"]).parquet(*[f"{root}/{f}" for f in log]).write.parquet(f"{root}/{version}/events-all")
+        log = [f"{version}/events-all"]
+    changed = _columns(facts, "facts").withColumn("bucket", bucket(F.col("project"))).where(F.col("bucket").isin(touched))
+    changed.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{version}/facts")
+    kept = [f for f in state.get("facts", []) if int(f.rpartition("=")[2]) not in touched]
+    _put(spark, root, state | {"events": log, "facts": kept + _parts(spark, root, f"{version}/facts")})
+    return True
+
+
 def attribution(speaker, ts, source_id, call_date):
     """"speaker, time (source: call, date)", the form facts are cited in."""
     return F.concat(F.coalesce(speaker, F.lit("Unidentified speaker")), F.lit(", "), F.coalesce(ts, F.lit("not available")), F.lit(" (source: "), F.coalesce(source_id, F.lit("")), F.lit(", "), F.coalesce(call_date.cast("string"), F.lit("")), F.lit(")"))
@@ -90,20 +153,33 @@ def documents(facts: DataFrame, stories: DataFrame, items: DataFrame, log: DataF
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """One file per area below ``path``, named by project and slug; areas with one slug get a number. Written by the executors."""
+    """One file per area below ``path``, named by project and slug; areas with one slug get a number.
+
+    Written by Spark's text source, one file a document, into any file system the cluster shares, then renamed by the
+    driver, which handles names only.
+    """
     n = F.row_number().over(Window.partitionBy("project", "slug").orderBy("feature"))
     named = docs.withColumn("n", n).select("project", F.when(F.col("n") > 1, F.concat_ws("-", "slug", F.col("n").cast("string"))).otherwise(F.col("slug")).alias("name"), "body")
 
-    def write(rows) -> None:
-        import os
-
-        for r in rows:
-            folder = os.path.join(path, r["project"] or "none")
-            os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, f"{r['name']}.md"), "w", encoding="utf-8") as f:
-                f.write(r["body"])
-
-    named.foreachPartition(write)
+    rows = named.select(F.coalesce("project", F.lit("none")).alias("project"), "name", "body")
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    one = F.concat_ws("\x01", "project", "name")
+    rows.repartition(one).select("project", "name", F.regexp_replace("body", "\n$", "").alias("value")).write.partitionBy("project", "name").text(staged)
+    spark = docs.sparkSession
+    fs, top = _fs(spark, staged)
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for p in fs.listStatus(top) if fs.exists(top) else []:
+        if not p.getPath().getName().startswith("project="):
+            continue
+        project = unescape(p.getPath().getName()[len("project="):])
+        for d in fs.listStatus(p.getPath()):
+            name = unescape(d.getPath().getName()[len("name="):])
+            file = next(x.getPath() for x in fs.listStatus(d.getPath()) if x.getPath().getName().startswith("part-"))
+            _, target = _fs(spark, f"{path}/{project}/{name}.md")
+            fs.mkdirs(target.getParent())
+            fs.delete(target, False)
+            fs.rename(file, target)
+    fs.delete(top, True)
 
 
 FACT_LINE = r'^-\s*\*\*EF-(\d+)\*\*(?:\s*\[superseded by EF-(\d+)\])?:\s*(.+?)\s*—\s*\*"(.+?)"\*\s*—\s*(.+?), ([^,()]+) \(source: (.*), (\d{4}-\d{2}-\d{2})?\)\s*$'

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from factloom import cli, store
 from factloom.operators import crossdoc as K
+from factloom.operators import naming
+from factloom.plans import ingest as I
 from factloom.plans.ingest import ingest, views
 from factloom.streaming import calls as stream
 from tests.fixture import SCHEMA, TURNS
@@ -87,8 +89,6 @@ def test_score_and_top(spark):
 
 
 def test_model_calls(spark):
-    from factloom.plans import ingest as I
-
     def chat(system, prompt):
         known = prompt.split("\n")[0]
         return f"<think>x</think>## STATEMENT\nFeature: A{len(known)}\nSummary: s\nQuote: q\nSpeaker: x\nTimestamp: t\n\n## STATEMENT\nFeature: B"
@@ -114,11 +114,33 @@ def test_ingest_cli_stream(spark, tmp_path):
     again = ingest(spark, turns, calls, root)
     assert store.load(spark, root, "facts").count() == n  # again: nothing new
     assert again.where("event_type = 'question'").count() == 0 and v["resolved"].count() >= 0 and v["contradictions"].count() >= 0
+    # a second run changes nothing, not even the state's number
+    assert again.count() == 0 and store._manifests(spark, root) == [1]
+    log = store.load(spark, root, "events").collect()
+    assert len({(r.project, r.seq) for r in log}) == len(log)
+    # what was found after the calls: answers with their back-link, contradictions in both areas
+    kinds = [r.event_type for r in log]
+    assert kinds.count("resolved") == kinds.count("answers") and kinds.count("contradiction") % 2 == 0
+    answered = {(r.feature, r.quote) for r in log if r.event_type == "resolved"}
+    assert {(r.feature, r.quote) for r in v["open_items"].where("tag = 'RESOLVED'").collect()} == answered
+    # a failure before the manifest is in place leaves the state as it was
+    from unittest import mock
+
+    with mock.patch.object(store, "_put", side_effect=OSError("gone")):
+        try:
+            store.save(spark, root, {"facts": store.load(spark, root, "facts").limit(0)})
+        except OSError:
+            pass
+    assert store.load(spark, root, "facts").count() == n
     assert cli.features(spark, root).count() > 0 and cli.ask(spark, root, "refund manager").count() > 0
     names = [r.feature for r in cli.features(spark, root).collect()]
     assert cli.show(spark, root, names[0][:4].lower()).count() > 0
     assert cli.merge(spark, root, "p", names[:2]) == names[:2] and cli.merge(spark, root, "p", ["zzz"]) == []
     assert store.load(spark, root, "facts").count() == n
+    moved = store.load(spark, root, "events")
+    assert moved.count() <= len(log) and moved.where(F.col("feature") == names[1]).count() == 0  # questions and log moved along
+    have = {(r.feature, r.ef_id) for r in store.load(spark, root, "facts").collect()}
+    assert {(r.feature, r.ef_id) for r in moved.where("adds_fact").collect()} <= have
     cli.export(spark, root, str(tmp_path / "docs"))
     assert store.parse_facts(store.read_documents(spark, str(tmp_path / "docs"))).count() > 0
 
@@ -127,3 +149,26 @@ def test_ingest_cli_stream(spark, tmp_path):
     query = stream.run(spark, str(tmp_path / "lines"), calls, str(tmp_path / "store2"), str(tmp_path / "ck"))
     query.awaitTermination()
     assert store.load(spark, str(tmp_path / "store2"), "facts").count() == n
+
+
+def test_routing_keeps_to_the_project(spark):
+    names = spark.createDataFrame([("p", "Refund Windows"), ("q", "Refund Windows")], "project string, feature string")
+    known = spark.createDataFrame([("p", "Refund Window")], "project string, feature string").withColumn("o", F.col("feature"))
+    got = {(r.project, r.routed) for r in naming.route_names(names, "feature", known, "feature", "o", scope="project").collect()}
+    assert got == {("p", "Refund Window"), ("q", "Refund Windows")}
+
+
+def test_areas_by_callback(spark):
+    s = spark.createDataFrame([("a", "p", 1, "fact", "x", "Refund approval limits", "refunds up to 20 dollars"), ("b", "p", 2, "fact", "Exams", "Final exams are timed", "exams last an hour"), ("c", "p", 3, "fact", "", "Final exams have retakes", "retake the exam"), ("d", "p", 4, "question", "Talk", "who decides on penguins", "who decides")], "key string, project string, seq bigint, kind string, feature string, summary string, quote string")
+    facts = spark.createDataFrame([("p", "Invoice Export", 1, None, "s", "q", None, None, "k", None)], FACTS)
+    areas = lambda df: spark.createDataFrame([("a", "Invoice Export"), ("b", "Final Exams"), ("c", "Exams")], "key string, area string")
+    got = {r.key: r.feature for r in I.assign_areas(s, facts, areas).collect()}
+    assert got["a"] != "Invoice Export" and got["b"] == got["c"] == "Final Exams" and got["d"] == ""
+
+
+def test_gaps_of_a_lifetime(spark):
+    facts = spark.createDataFrame([("p", "Refunds", 1, None, "Managers approve refunds", "managers approve refunds", None, None, "k", None)], FACTS)
+    gaps = spark.createDataFrame([("p", "Refunds", i, q, [1]) for i, q in enumerate(("Which managers approve refunds abroad?", "Do managers approve refunds on holidays?", "May managers approve refunds by telephone?"), 1)], "project string, feature string, gap_no int, question string, refs array<int>")
+    none = spark.createDataFrame([], "project string, feature string, text string")
+    used = spark.createDataFrame([("p", "Refunds", 1)], "project string, feature string, n_gaps bigint")
+    assert K.filter_gaps(gaps, facts, none).count() == 2 and K.filter_gaps(gaps, facts, none, used=used).count() == 1
