@@ -36,27 +36,31 @@ def route_names(names: DataFrame, name: str, known: DataFrame, known_name: str,
 def canonical_names(names: DataFrame, scope: str, name: str, config: Config = CONFIG) -> DataFrame:
     """(scope, name, canonical): names of one batch that share a distinctive word or would be routed onto each other.
 
-    A word is generic if three or more names of the batch have it. Names of a group are linked through their
-    words (a bipartite graph), so no pairs of a common word are formed; pairs by similarity share two words,
-    or one that makes a subset. The canonical name is the shortest, ties by the name itself.
+    Linked are names that share a word no third name of the batch has, names of which one has all words of the other,
+    and names that share two words or more, at least half of the shorter one's. Links run through nodes for words and
+    pairs of words (a bipartite graph), so no pairs of names are formed, but for names of more than four words. The
+    canonical name is the shortest, ties by the name itself.
     """
     n = names.select(F.col(scope).alias("scope"), F.col(name).alias("name")).where("scope is not null and name is not null").distinct()
-    w = n.select("scope", "name", F.explode(X.feature_words(F.col("name"))).alias("w"))
-    use = w.groupBy("scope", "w").agg(F.count("*").alias("n"))
-    key = lambda kind, c: F.concat_ws("\x01", F.lit(kind), "scope", c)
-    own = w.join(use.where("n between 2 and 2"), ["scope", "w"]).select(key("n", "name").alias("src"), key("w", "w").alias("dst"))
-    sizes = w.groupBy("scope", "name").agg(F.count("*").alias("k"))
-    a, b = w.select("scope", "w", F.col("name").alias("a")), w.select("scope", "w", F.col("name").alias("b"))
-    generic = use.where("n >= 3").select("scope", "w")
-    met = a.join(b, ["scope", "w"]).where("a < b").join(generic, ["scope", "w"], "left_semi").groupBy("scope", "a", "b").agg(F.count("*").alias("n"))
-    met = met.join(sizes.select("scope", F.col("name").alias("a"), F.col("k").alias("ka")), ["scope", "a"]).join(sizes.select("scope", F.col("name").alias("b"), F.col("k").alias("kb")), ["scope", "b"])
-    t = config.route_similarity
-    near = met.where(((F.col("n") == F.least("ka", "kb"))) | ((F.col("n") / F.least("ka", "kb") >= t) & (F.col("n") >= 2)) | (F.col("n") / (F.col("ka") + F.col("kb") - F.col("n")) >= t))
-    near = near.select(key("n", "a").alias("src"), key("n", "b").alias("dst"))
-    comp = connected_components(own.union(near))
-    grouped = n.withColumn("node", key("n", "name")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    n = checkpoint(n.withColumn("ws", F.array_sort(F.array_distinct(X.feature_words(F.col("name"))))))
+    w = n.select("scope", "name", F.size("ws").alias("k"), F.explode("ws").alias("w"))
+    use = w.groupBy("scope", "w").agg(F.count("*").alias("n"), F.min("k").alias("k"))
+    key = lambda kind, *c: F.concat_ws("\x01", F.lit(kind), "scope", *c)
+    # a word of two names, or one that is a whole name by itself
+    by_word = w.drop("k").join(use.where("n = 2 or n > 2 and k = 1").hint("merge"), ["scope", "w"]).select(key("n", "name").alias("src"), key("w", "w").alias("dst"))
+    two = F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.greatest(F.size("ws") - i - 1, F.lit(0))), lambda y: F.concat_ws("\x02", x, y))))
+    pairs = n.where(F.size("ws") >= 2).select("scope", "name", "ws", F.size("ws").alias("k"), F.explode(two).alias("p"))
+    shared = pairs.groupBy("scope", "p").agg(F.count("*").alias("n"), F.min("k").alias("least")).where("n > 1")
+    pairs = checkpoint(pairs.join(shared.hint("merge"), ["scope", "p"]))
+    # two words are half of four: such a pair links all names that have it
+    by_pair = pairs.where("least <= 4").select(key("n", "name").alias("src"), key("p", "p").alias("dst"))
+    long = pairs.where("least > 4")
+    met = long.select("scope", "p", F.col("name").alias("a"), F.col("ws").alias("wa")).join(long.select("scope", "p", F.col("name").alias("b"), F.col("ws").alias("wb")).hint("merge"), ["scope", "p"]).where("a < b")
+    met = met.where(F.size(F.array_intersect("wa", "wb")) >= F.lit(config.route_similarity) * F.least(F.size("wa"), F.size("wb"))).select(key("n", "a").alias("src"), key("n", "b").alias("dst"))
+    comp = connected_components(by_word.union(by_pair).union(met))
+    grouped = n.withColumn("node", key("n", "name")).join(comp.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = grouped.groupBy("component").agg(F.min(F.struct(F.length("name"), "name")).getField("name").alias("canonical"))
-    return grouped.join(best, "component").select(F.col("scope").alias(scope), F.col("name").alias(name), "canonical")
+    return grouped.join(best.hint("merge"), "component").select(F.col("scope").alias(scope), F.col("name").alias(name), "canonical")
 
 
 def document_frequency(df: DataFrame, group: list[str], row: str, words: str) -> DataFrame:

@@ -292,6 +292,40 @@ ORACLE["merged_areas"] = (
     "SELECT i.project, i.target AS feature, i.new_id AS ef_id, n.new_id AS superseded_by, i.summary FROM i LEFT JOIN i n ON n.project = i.project AND n.feature = i.feature AND n.ef_id = i.superseded_by "
     f"UNION ALL SELECT project, feature, ef_id, superseded_by, summary FROM {FACTS} f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.project = f.project AND g.feature = f.feature)"
 )
+_FIRST_WORD = f"(SELECT project, feature, target FROM (SELECT *, min(feature) OVER w AS target, count(*) OVER w AS n FROM (SELECT DISTINCT project, feature, string_split({slug('feature')}, '-')[1] AS slug FROM {FACTS} WHERE feature IS NOT NULL) WINDOW w AS (PARTITION BY project, slug)) WHERE n > 1)"
+ORACLE["mergeable_areas"] = (
+    f"WITH h AS (SELECT project, feature, arg_min(summary, ef_id) AS s, count(*) AS n FROM {FACTS} GROUP BY 1, 2), w AS (SELECT g.*, h.n, {tokens('merge', both('g.feature', 'h.s'))} AS w FROM {_FIRST_WORD} g JOIN h USING (project, feature)), "
+    "k AS (SELECT w.project, w.feature, w.target, w.n FROM w JOIN w t ON t.project = w.project AND t.target = w.target AND t.feature = t.target WHERE w.feature = w.target OR len(list_intersect(w.w, t.w)) > 0) "
+    "SELECT project, feature, target FROM k WHERE (SELECT count(*) FROM k o WHERE o.project = k.project AND o.target = k.target) >= 2 AND (SELECT count(*) FROM k o WHERE o.project = k.project AND o.target = k.target AND o.n > 1) <= 1"
+)
+_KNOWN = f"SELECT s.*, c.whole, {clauses('s.quote')} AS cs FROM {S} s LEFT JOIN ({_CALLS}) c USING (source_id) WHERE s.quote IS NOT NULL"
+_GOOD = f"list_filter(cs, lambda c: regexp_matches({norm('c')}, '[a-z0-9]') AND coalesce(contains(whole, {norm('c')}), false) AND {classifier('requirement', 'c')})"
+ORACLE["unbundled"] = (
+    f"WITH p AS (SELECT statement_id, kind, quote, summary, {_GOOD} AS good FROM ({_KNOWN})) "
+    "SELECT statement_id, quote, summary FROM p WHERE NOT coalesce(kind = 'fact' AND len(good) >= 2, false) UNION ALL "
+    "SELECT statement_id, part AS quote, upper(rtrim(part, '.!?')[1]) || rtrim(part, '.!?')[2:] || '.' AS summary FROM (SELECT statement_id, unnest(good) AS part FROM p WHERE kind = 'fact' AND len(good) >= 2)"
+)
+ORACLE["clean_areas"] = (
+    f"WITH a AS (SELECT DISTINCT feature, trim(split_part(split_part(trim(trim(trim(feature, ' ' || chr(9) || chr(10)), '\"*'), ' ' || chr(9) || chr(10)), ' (', 1), ' -- ', 1)) AS s FROM statements WHERE feature IS NOT NULL), "
+    "b AS (SELECT feature, CASE WHEN NOT regexp_matches(s, '(?i)\\bNEW\\s*:') THEN s WHEN trim(regexp_extract(s, '(?is)^(.*?)\\bNEW\\s*:\\s*(.*)$', 1)) <> '' THEN trim(regexp_extract(s, '(?is)^(.*?)\\bNEW\\s*:\\s*(.*)$', 1)) ELSE trim(regexp_extract(s, '(?is)^(.*?)\\bNEW\\s*:\\s*(.*)$', 2)) END AS s FROM a), "
+    f"c AS (SELECT feature, list_filter(string_split({decamel('s')}, ' '), lambda w: w <> '') AS p FROM b), d AS (SELECT feature, p, coalesce(list_position(list_transform(p, lambda w: lower(w) NOT IN {among(L.AREA_BAD_LEAD)}), true), 0) AS k FROM c), "
+    f"e AS (SELECT feature, CASE WHEN k = 0 THEN '' ELSE array_to_string(p[k:k + 3], ' ') END AS t FROM d) SELECT feature, CASE WHEN {bad_area('t')} THEN '' ELSE t END AS area FROM e"
+)
+_CLAUSE = f"regexp_replace(rtrim({destub(chr(115))}, ' .;'), '\\s*[;\\n]\\s*', ', ', 'g')"
+ORACLE["stories"] = (
+    f"WITH a AS (SELECT project, feature, trim(coalesce(summary, '')) AS s, row_number() OVER (PARTITION BY project, feature ORDER BY ef_id) AS r, count(*) OVER (PARTITION BY project, feature) AS n FROM {FACTS} WHERE superseded_by IS NULL), "
+    f"c AS (SELECT project, feature, r, n, c, row_number() OVER (PARTITION BY project, feature ORDER BY r) AS k FROM (SELECT *, {_CLAUSE} AS c FROM a WHERE r <= 8) WHERE c <> ''), "
+    "j AS (SELECT project, feature, any_value(n) AS n, count(*) AS m, string_agg(CASE WHEN k = 1 OR (length(string_split(c, ' ')[1]) > 1 AND upper(string_split(c, ' ')[1]) = string_split(c, ' ')[1]) THEN c ELSE lower(c[1]) || c[2:] END, '; ' ORDER BY k) AS t FROM c GROUP BY 1, 2) "
+    "SELECT project, feature, t || CASE WHEN n > m THEN '; plus ' || (n - m) || ' more (see Established Facts)' ELSE '' END || '.' AS story FROM j"
+)
+_SUBSET = "len(list_intersect(a.ws, b.ws)) = least(len(a.ws), len(b.ws))"
+ORACLE["canonical_names"] = (
+    f"WITH RECURSIVE {'f AS (' + ORACLE['clean_areas'] + ')'}, n AS (SELECT DISTINCT c.project, f.area AS name, {tokens('feature', 'f.area')} AS ws FROM statements s JOIN {CALLS} c USING (source_id) JOIN f ON f.feature = s.feature WHERE f.area <> ''), "
+    "u AS (SELECT project, w, count(*) AS n FROM (SELECT project, unnest(ws) AS w FROM n) GROUP BY 1, 2), r AS (SELECT project, list(w) AS rare FROM u WHERE n = 2 GROUP BY 1), "
+    f"e AS (SELECT a.project, a.name AS a, b.name AS b FROM n a JOIN n b ON a.project = b.project AND a.name <> b.name AND len(list_intersect(a.ws, b.ws)) > 0 LEFT JOIN r ON r.project = a.project WHERE {_SUBSET} OR (len(list_intersect(a.ws, b.ws)) >= 2 AND len(list_intersect(a.ws, b.ws)) * 2 >= least(len(a.ws), len(b.ws))) OR coalesce(len(list_intersect(list_intersect(a.ws, b.ws), r.rare)) > 0, false)), "
+    "reach AS (SELECT project, name, name AS other FROM n UNION SELECT x.project, x.name, e.b FROM reach x JOIN e ON e.project = x.project AND e.a = x.other) "
+    "SELECT project, name AS feature, arg_min(other, (length(other), other)) AS canonical FROM reach GROUP BY 1, 2"
+)
 ORACLE["grounding_score"] = (
     f"WITH f AS (SELECT *, row_number() OVER () AS k FROM {FACTS}), h AS (SELECT k FROM ({_places('f', 'k')})) "
     f"SELECT count(*) AS n_facts, count(superseded_by) AS n_superseded, count(quote) AS n_quotes, (SELECT count(*) FROM h) AS n_grounded, count(*) FILTER (len(regexp_extract_all(coalesce(summary, ''), {q('[A-Za-z0-9' + chr(39) + ']+')})) < 4) AS n_fragments, CAST(count(quote) = (SELECT count(*) FROM h) AS INT) AS passed FROM f"

@@ -217,8 +217,9 @@ def canonical_names(spark, d):
 
 @query
 def split_areas(spark, d):
-    s = with_project(statements(spark, d, "source_id", "feature", "summary"), spark, d).withColumn("area", F.concat_ws(": ", "project", X.area_from_summary(F.col("summary"), F.col("feature"))))
-    return naming.cohesion_split(s, "area", "statement_id", "summary").select("area", F.col("row").alias("statement_id"), "new_area")
+    """All statements of a call as one catch-all area, as if a model had dumped it."""
+    s = statements(spark, d, "source_id", "summary").withColumn("name", F.lit("Misc"))
+    return naming.cohesion_split(s, "source_id", "statement_id", "summary", name="name").select(F.col("area").alias("source_id"), F.col("row").alias("statement_id"), "new_area")
 
 
 @query
@@ -311,11 +312,11 @@ def top_documents(spark, d):
     return crossdoc.top_documents(items, "item_id", "text", table(spark, d, "documents").dropDuplicates(["doc_id"]), "doc_id", "text")
 
 
-def _merge_groups(f: DataFrame) -> DataFrame:
-    """Areas of a project whose slugs are equal form a group; the smallest name is the target."""
+def _merge_groups(f: DataFrame, words: int = 100) -> DataFrame:
+    """Areas of a project whose slugs, or the first ``words`` words of them, are equal form a group; the smallest name is the target."""
     from pyspark.sql import Window
 
-    areas = f.select("project", "feature").where("feature is not null").distinct().withColumn("slug", X.slug(F.col("feature")))
+    areas = f.select("project", "feature").where("feature is not null").distinct().withColumn("slug", F.substring_index(X.slug(F.col("feature")), "-", words))
     w = Window.partitionBy("project", "slug")
     ranked = areas.select("project", "feature", F.min("feature").over(w).alias("target"), F.row_number().over(w.orderBy("feature")).alias("member_no"), F.count("*").over(w).alias("n"))
     return ranked.where("n > 1").drop("n")
@@ -330,7 +331,7 @@ def merged_areas(spark, d):
 @query
 def mergeable_areas(spark, d):
     f = facts(spark, d)
-    return crossdoc.mergeable(f, _merge_groups(f)).select("project", "feature", "target")
+    return crossdoc.mergeable(f, _merge_groups(f, 1)).select("project", "feature", "target")
 
 
 @query
