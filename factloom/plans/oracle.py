@@ -338,3 +338,14 @@ ORACLE["numbered_facts"] = (
     f"WITH t AS (SELECT project, feature, max(ef_id) AS top FROM {FACTS} GROUP BY 1, 2), s AS (SELECT statement_id, project, feature, min(statement_id) OVER (PARTITION BY project, feature, source_id) AS lo, source_id FROM {SP} WHERE kind = 'fact' AND feature IS NOT NULL) "
     "SELECT s.statement_id, s.project, s.feature, CAST(coalesce(t.top, 0) + row_number() OVER (PARTITION BY s.project, s.feature ORDER BY lo, source_id, statement_id) AS INT) AS ef_id FROM s LEFT JOIN t USING (project, feature)"
 )
+_ONE = lambda c: f"trim(regexp_replace({c}, {q('(?:' + BLANK + '|[<>])+')}, ' ', 'g'))"
+_FILE_LINES = f"SELECT source_id || '#' || CAST(line_no // 400 AS VARCHAR) AS source_id, line_no AS n, {_ONE('text')} AS text, coalesce({_ONE('speaker')}, '') AS who, row_number() OVER (PARTITION BY source_id, line_no // 400 ORDER BY line_no) AS k FROM {T} WHERE {_ONE('text')} <> ''"
+ORACLE["vtt_turns"] = (
+    f"SELECT source_id, CAST(k * 1000 + 1 AS INT) AS line_no, lpad(CAST(n // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') || '.000' AS ts, CASE WHEN who = '' THEN 'Unidentified speaker' ELSE who END AS speaker, text FROM ({_FILE_LINES})"
+)
+_LABEL, _TIMED = q(r"^(?:\[([^\]]+)\]\s*)?(?:\*\*)?([^:*]{1,40}?)(?:\*\*)?:(?:\*\*)?\s*(.+)$"), q(r"^\[([^\]]+)\]\s*(.+)$")
+ORACLE["txt_turns"] = (
+    f"WITH l AS (SELECT source_id, k, CASE WHEN who <> '' THEN '**' || who || ':** ' ELSE '' END || text AS line FROM ({_FILE_LINES})), m AS (SELECT *, regexp_matches(line, {_LABEL}) AS ok, regexp_matches(line, {_TIMED}) AS timed FROM l) "
+    f"SELECT source_id, CAST(k AS INT) AS line_no, nullif(CASE WHEN ok THEN regexp_extract(line, {_LABEL}, 1) ELSE regexp_extract(line, {_TIMED}, 1) END, '') AS ts, nullif(CASE WHEN ok THEN trim(regexp_extract(line, {_LABEL}, 2)) END, '') AS speaker, "
+    f"trim(CASE WHEN ok THEN regexp_extract(line, {_LABEL}, 3) WHEN timed THEN regexp_extract(line, {_TIMED}, 2) ELSE line END) AS text FROM m"
+)

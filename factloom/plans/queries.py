@@ -362,30 +362,27 @@ def numbered_facts(spark, d):
     return fold.number_facts(s.where("feature is not null"), facts(spark, d)).select("statement_id", "project", "feature", "ef_id")
 
 
-VTT = """WEBVTT
+def _files(spark: SparkSession, d: str, header: str, line: Column, between: str) -> DataFrame:
+    """(source_id, raw): the turns of each call as files of up to 400 line numbers, ``line`` by ``line``."""
+    blank = lambda c: F.btrim(F.regexp_replace(F.col(c), f"(?:{X.BLANK}|[<>])+", " "))
+    t = turns(spark, d, "ts", "speaker", "text").withColumns({"text": blank("text"), "who": F.coalesce(blank("speaker"), F.lit(""))}).where("text <> ''")
+    t = t.select(F.concat_ws("#", "source_id", F.floor(F.col("line_no") / 400).cast("string")).alias("source_id"), "line_no", line.alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line)
+    return t.groupBy("source_id").agg(F.concat(F.lit(header), F.array_join(lines, between)).alias("raw"))
 
-1
-00:00:01.000 --> 00:00:03.000
-<v Nadia Brook>The export keeps the last thirty days.</v>
 
-2
-00:00:04.500 --> 00:00:06.000
-<v>Is that for every branch?</v>
-
-NOTE a remark of the editor
-
-3
-00:00:07.000 --> 00:00:09.000
-<v Omar Lind>Yes, for every branch,
-and for the archive.</v> <v Nadia Brook>Agreed.</v>
-
-4
-00:00:11.000 --> 00:00:12.000
-42
-"""
+@query
+def vtt_turns(spark, d):
+    """Every call written as WebVTT and read again."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    n = F.col("line_no")
+    start = F.concat(two(F.floor(n / 3600)), F.lit(":"), two(F.floor(n / 60) % 60), F.lit(":"), two(n % 60), F.lit(".000"))
+    cue = F.concat(n.cast("string"), F.lit("\n"), start, F.lit(" --> "), start, F.lit("\n<v "), F.col("who"), F.lit(">"), F.col("text"), F.lit("</v>"))
+    return transcripts.vtt_turns(_files(spark, d, "WEBVTT\n\n", cue, "\n\n"))
 
 
 @query
-def vtt_turns(spark, d):
-    files = spark.createDataFrame([("k2", VTT)], "source_id string, raw string")
-    return transcripts.vtt_turns(files)
+def txt_turns(spark, d):
+    """Every call written as lines of text, with labels where there are some, and read again."""
+    who = F.when(F.col("who") != "", F.concat(F.lit("**"), F.col("who"), F.lit(":** "))).otherwise("")
+    return transcripts.txt_turns(_files(spark, d, "", F.concat(who, F.col("text")), "\n"))
