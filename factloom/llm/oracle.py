@@ -30,6 +30,17 @@ def sql() -> dict[str, str]:
         "SELECT a.statement_id AS id_a, b.statement_id AS id_b FROM t a JOIN t b ON a.statement_id < b.statement_id AND len(a.w) >= 0.68 * len(b.w) - 1e-9 AND len(b.w) >= 0.68 * len(a.w) - 1e-9 "
         "WHERE len(list_intersect(a.w, b.w)) >= 0.68 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9"
     )
+    pairs = (
+        f"s AS (SELECT statement_id, list_sort(list_distinct(list_concat({words('quote')}, {words('summary')}))) AS w FROM (SELECT DISTINCT ON (statement_id) * FROM statements)), m AS (SELECT statement_id, w, min(statement_id) OVER (PARTITION BY w) AS rep FROM s WHERE len(w) > 0), t AS (SELECT * FROM m WHERE statement_id = rep), "
+        "l AS (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.rep <> b.rep AND len(a.w) >= 0.68 * len(b.w) - 1e-9 AND len(b.w) >= 0.68 * len(a.w) - 1e-9 WHERE len(list_intersect(a.w, b.w)) >= 0.68 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9)"
+    )
+    out["p1_groups"] = (
+        f"WITH RECURSIVE {pairs}, reach AS (SELECT rep AS x, rep AS y FROM t UNION SELECT r.x, l.b FROM reach r JOIN l ON l.a = r.y), g AS (SELECT x, min(y) AS group_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1) "
+        "SELECT m.statement_id, m.rep, g.group_id, coalesce(n.n, 0) AS n_links FROM m JOIN g ON g.x = m.rep LEFT JOIN n ON n.a = m.rep"
+    )
+    picture = r"[\x{2300}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
+    kept = f"regexp_replace(text, {_q(f'({picture}){chr(0x200D)}({picture})')}, {_q(chr(92) + '1' + chr(0xE000) + chr(92) + '2')}, 'g')"  # the joiner inside an emoji stays
+    out["p4_forms"] = f"SELECT DISTINCT ON (source_id, line_no) source_id, line_no, replace({form(kept)}, chr(57344), chr(8205)) AS form FROM turns"
     out["p4_found"] = f"SELECT DISTINCT s.statement_id, s.source_id, t.line_no FROM statements s JOIN turns t ON s.source_id = t.source_id AND {form('s.quote')} = {form('t.text')} WHERE s.quote <> t.text"
     out["p5_found"] = "SELECT DISTINCT source_id, line_no FROM turns WHERE length(text) > 2500"
     out["p9_found"] = (
