@@ -23,7 +23,7 @@ def _body() -> Column:
 def resolve_questions(questions: DataFrame, key: str, facts: DataFrame, config: Config = CONFIG) -> DataFrame:
     """(key, verdict, feature, ef_id, shared): the first active fact of the project that answers each open question.
 
-    Three shared topic words answer, or two if the question's numbers all occur in the fact. A question of fewer
+    ``key`` is unique. Three shared topic words answer, or two if the question's numbers all occur in the fact. A question of fewer
     than two topic words has no answer; facts of the question's own call are no answers. "near" marks those with
     two shared words only, at most ``model_resolutions`` of which a model may be asked. First means the smallest
     (feature, ef_id). Pairs are formed by an equality join on a shared word.
@@ -31,8 +31,10 @@ def resolve_questions(questions: DataFrame, key: str, facts: DataFrame, config:
     text = F.coalesce("summary", "quote")
     q = questions.select(F.col(key).alias("k"), "project", F.col("source_id").alias("q_source"), X.topic_words(text).alias("qw"), X.numerals(text).alias("qn")).where(F.size("qw") >= 2)
     f = active_facts(facts).select("project", "feature", "ef_id", F.col("source_id").alias("f_source"), X.topic_words(_body()).alias("fw"), X.numerals(_body()).alias("fn"))
-    met = q.select("k", "project", "q_source", "qn", F.explode("qw").alias("w")).join(f.select("project", "feature", "ef_id", "f_source", "fn", F.explode("fw").alias("w")), ["project", "w"])
-    met = met.where(~F.col("q_source").eqNullSafe(F.col("f_source"))).groupBy("k", "project", "feature", "ef_id").agg(F.count("*").alias("shared"), F.first("qn").alias("qn"), F.first("fn").alias("fn"))
+    # at least two words are shared, so the commonest one of a question needn't be joined on
+    asked = G.but_commonest(q.withColumn("qw", F.transform("qw", lambda w: F.xxhash64(w))), "project", "k", "qw")
+    told = f.withColumn("fw", F.transform("fw", lambda w: F.xxhash64(w))).select("project", "feature", "ef_id", "f_source", "fn", "fw", F.explode("fw").alias("_w"))
+    met = asked.join(told.hint("merge"), ["project", "_w"]).where(~F.col("q_source").eqNullSafe(F.col("f_source"))).withColumn("shared", F.size(F.array_intersect("qw", "fw")).cast("long"))
     numbers = (F.size("qn") > 0) & (F.size(F.array_except("qn", "fn")) == 0)
     sure = (F.col("shared") >= config.resolve_words) | ((F.col("shared") >= config.resolve_words_with_number) & numbers)
     met = met.where(F.col("shared") >= config.resolve_words_with_number).withColumn("verdict", F.when(sure, "resolved").otherwise("near"))

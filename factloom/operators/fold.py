@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +108,14 @@ class Ledger:
         self.last_id = max((f.ef_id for f in self.facts), default=0)
         self.active = Active(f for f in self.facts if f.superseded_by is None)
 
+    def record(self, f: Row) -> None:
+        """A fact that was there before."""
+        self.facts.append(f)
+        self.quotes.add(f.norm)
+        self.last_id = max(self.last_id, f.ef_id)
+        if f.superseded_by is None:
+            self.active.add(f)
+
     def emit(self, event: str, s: Row, ef_id: int | None = None, other: int | None = None, reason: str = "", was: str | None = None, adds: bool = False) -> None:
         self.events.append({
             "event_type": event, "ef_id": ef_id, "other_ef_id": other, "kind": s.kind, "summary": s.summary, "quote": s.quote, "speaker": s.speaker, "ts": s.ts, "source_id": s.source_id, "call_date": s.call_date,
@@ -229,6 +238,8 @@ def _rows(pdf: pd.DataFrame, seq: str) -> list[Row]:
     return out
 
 
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "date": pa.date32()}
+_ARROW_EVENTS = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in schemas.EVENTS.split(", ")])
 _PLACE = ["seq", "speaker", "ts", "source_id", "call_date"]
 _FACT_COLUMNS = ["project", "feature", "ef_id", "superseded_by", "summary", "quote", "speaker", "ts", "source_id", "call_date", *FEATURES]
 
@@ -240,15 +251,6 @@ def _each(wordings: DataFrame, event: str, reason: str) -> DataFrame:
     return each.withColumns(set_).select(*schemas._schema(schemas.EVENTS).names)
 
 
-def _spread(pdf: pd.DataFrame) -> list[Row]:
-    """The statements of wordings; those of one wording share its features."""
-    one = pdf.drop(columns="places").assign(source_id=None, speaker=None, ts=None, call_date=None)
-    out = []
-    for r, places in zip(_rows(one, "seq"), pdf["places"]):
-        out += [replace(r, seq=int(p["seq"] or 0), speaker=p["speaker"], ts=p["ts"], source_id=p["source_id"], call_date=p["call_date"]) for p in places]
-    return out
-
-
 def fold_events(statements: DataFrame, facts: DataFrame, verdict_of: Callable[[Row, list[Row]], Verdict], asked: DataFrame | None = None) -> DataFrame:
     """Events (schema EVENTS) of statements folded into the recorded facts of their (project, feature).
 
@@ -256,8 +258,9 @@ def fold_events(statements: DataFrame, facts: DataFrame, verdict_of: Callable[[R
     call_date, verified. Statements without area or project are left out; a missing kind is a fact, a missing
     verified is unverified. Facts and statements of one area are sequential by nature. Quotes of recorded facts
     are restated whatever comes, so they are taken out by a join before the fold. Whether another repetition is
-    restated depends on what became of those before it, so the fold takes it; equal wordings reach it as one
-    record with the list of their places. ``asked``(project, quote) are questions on record anywhere in the
+    restated depends on what became of those before it, so the fold takes it. Rows come to the fold sorted by area and
+    order, and go through it one by one: many small areas share a task, and of a large one only its ledger is held.
+    ``asked``(project, quote) are questions on record anywhere in the
     project: those of 20 characters or more are not asked again.
     """
     s = statements.where("project is not null and feature is not null and quote is not null")
@@ -265,7 +268,8 @@ def fold_events(statements: DataFrame, facts: DataFrame, verdict_of: Callable[[R
     s = s.withColumn("summary", F.when(F.col("kind") == "question", F.col("summary")).otherwise(X.repair_summary(F.col("summary"), F.col("quote"))))
     s = s.groupBy("project", "feature", "kind", "verified", "summary", "quote").agg(F.collect_list(F.struct(*_PLACE)).alias("places"))
     s = with_features(s)
-    f = with_features(facts.where("project is not null and feature is not null")).select(*_FACT_COLUMNS)
+    near = facts.where("project is not null and feature is not null").join(s.select("project", "feature").distinct().hint("merge"), ["project", "feature"], "left_semi")
+    f = with_features(near).select(*_FACT_COLUMNS)
     recorded = f.select("project", "feature", "norm").distinct().withColumn("known", F.lit(True))
     marked = checkpoint(s.join(recorded, ["project", "feature", "norm"], "left"))  # read by every branch below
     repeated = (F.col("kind") != "question") & F.col("verified") & F.coalesce("known", F.lit(False))
@@ -276,23 +280,39 @@ def fold_events(statements: DataFrame, facts: DataFrame, verdict_of: Callable[[R
         questions = todo.where("kind = 'question'")
         again = again.unionByName(_each(questions.join(on_record, ["project", "norm"], "left_semi"), "asked_again", "the question is recorded"))
         todo = todo.where("kind <> 'question'").unionByName(questions.join(on_record, ["project", "norm"], "left_anti").select(*todo.columns))
-    schema = schemas._schema(schemas.EVENTS)
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        stmts = _spread(left)
-        events = fold(_rows(right, "ef_id"), stmts, verdict_of)
-        order = sorted(s.seq for s in stmts)
-        out = pd.DataFrame(events, columns=[c for c in schema.names if c not in ("project", "feature")])
-        out["project"], out["feature"] = key[0], key[1]
-        out["seq"] = order[: len(out)]  # one event per statement, in order
-        for c in ("ef_id", "other_ef_id"):
-            out[c] = out[c].astype("Int32")
-        return out[schema.names]
-
-    folded = todo.groupBy("project", "feature").cogroup(f.groupBy("project", "feature")).applyInPandas(run, schema)
+    rows = todo.select("*", F.explode("places").alias("_p")).select("project", "feature", F.lit(1).alias("src"), "_p.seq", "kind", "verified", "summary", "quote", "_p.speaker", "_p.ts", "_p.source_id", "_p.call_date", F.lit(0).alias("ef_id"), F.lit(None).cast("int").alias("superseded_by"), *FEATURES)
+    old = f.select("project", "feature", F.lit(0).alias("src"), F.col("ef_id").cast("long").alias("seq"), F.lit("fact").alias("kind"), F.lit(True).alias("verified"), "summary", "quote", "speaker", "ts", "source_id", "call_date", "ef_id", "superseded_by", *FEATURES)
+    ordered = rows.unionByName(old).repartition("project", "feature").sortWithinPartitions("project", "feature", "src", "seq", "quote")
+    folded = ordered.mapInArrow(_folder(verdict_of), schemas._schema(schemas.EVENTS))
     return folded.unionByName(again)
 
 
+def _folder(verdict_of: Callable[[Row, list[Row]], Verdict]):
+    """The fold over batches of rows sorted by project, feature, src (facts first) and seq."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        area, ledger = None, None
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in EVENT_COLUMNS}
+            for r in batch.to_pylist():
+                if (r["project"], r["feature"]) != area:
+                    area, ledger = (r["project"], r["feature"]), Ledger([], verdict_of)
+                row = Row(
+                    summary=r["summary"] or "", quote=r["quote"] or "", source_id=r["source_id"], norm=r["norm"], words=frozenset(r["words"]), numbers=frozenset(r["numbers"]), numerals=frozenset(r["numerals"]), multipart=bool(r["multipart"]),
+                    no_change=bool(r["no_change"]), kind=r["kind"], verified=r["verified"], speaker=r["speaker"], ts=r["ts"], call_date=r["call_date"], seq=r["seq"] or 0, ef_id=r["ef_id"], superseded_by=r["superseded_by"],
+                )
+                if r["src"] == 0:
+                    ledger.record(row)
+                    continue
+                ledger.take(row)
+                event = ledger.events.pop() | {"project": area[0], "feature": area[1], "seq": row.seq}  # one event a statement
+                for c in EVENT_COLUMNS:
+                    out[c].append(event[c])
+            yield pa.RecordBatch.from_pydict(out, schema=_ARROW_EVENTS)
+
+    return run
+
+
 def facts_after(facts: DataFrame, events: DataFrame) -> DataFrame:
     """The facts table after the events: old facts with their successors, and added ones. Nothing is deleted."""
     gone = events.where("event_type = 'changed'").select("project", "feature", F.col("other_ef_id").alias("ef_id"), F.col("ef_id").alias("by"))

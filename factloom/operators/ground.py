@@ -300,18 +300,38 @@ def dedup_quotes(statements: DataFrame, order: str = "seq") -> DataFrame:
     return first_of_each(statements.withColumn("norm", X.normalise(F.col("quote"))), ["source_id", "norm"], order)
 
 
+def but_commonest(df: DataFrame, scope: str, key: str, words: str) -> DataFrame:
+    """Rows of ``df`` exploded to ``_w``, the hashes of their words but the one most rows of their scope have.
+
+    Two rows that share two words or more share one of these of either row, so a join on them is complete for such
+    pairs, and leaves out the hottest key.
+    """
+    one = df.select(scope, F.explode(words).alias("_w"))
+    count = one.groupBy(scope, "_w").agg(F.count("*").alias("_df"))
+    each = df.select("*", F.explode(words).alias("_w")).join(count.hint("merge"), [scope, "_w"])
+    top = each.groupBy(key).agg(F.max(F.struct("_df", "_w")).getField("_w").alias("_top"))
+    return each.join(top.hint("merge"), key).where(F.col("_w") != F.col("_top")).drop("_df", "_top")
+
+
 def drop_answered(statements: DataFrame, key: str, position: str, config: Config = CONFIG) -> DataFrame:
     """Without questions that a later fact of the same call answers.
 
     A fact at a larger ``position`` answers a question of two or more content words if they share two words, or
-    one within ``answer_reach_chars``. Pairs are formed by an equality join on a shared word.
+    one within ``answer_reach_chars``. The first are met through all words of the question but its commonest one, the
+    second on a word and a stretch of that many characters, so a word that very many have forms no large group.
     """
     from factloom import lexicon as L
 
     stop = sorted(L.QUESTION_WORDS)
-    w = statements.withColumn("_w", F.filter(X.content_words(F.concat_ws(" ", "summary", "quote")), lambda x: ~x.isin(*stop)))
-    q = w.where((F.col("kind") == "question") & F.col(position).isNotNull() & (F.size("_w") >= 2)).select(F.col(key).alias("qk"), "source_id", F.col(position).alias("qp"), F.explode("_w").alias("word"))
-    f = w.where((F.col("kind") != "question") & F.col(position).isNotNull()).select(F.col(key).alias("fk"), "source_id", F.col(position).alias("fp"), F.explode("_w").alias("word"))
-    met = q.join(f, ["source_id", "word"]).where("fp > qp").groupBy("qk", "fk", "qp", "fp").agg(F.count("*").alias("n"))
-    answered = met.where((F.col("n") >= 2) | (F.col("fp") - F.col("qp") < config.answer_reach_chars)).select(F.col("qk").alias(key)).distinct()
-    return statements.join(answered, key, "left_anti")
+    reach = config.answer_reach_chars
+    w = F.filter(X.content_words(F.concat_ws(" ", "summary", "quote")), lambda x: ~x.isin(*stop))
+    w = checkpoint(statements.where(F.col(position).isNotNull()).select(F.col(key).alias("k"), "source_id", "kind", F.col(position).cast("long").alias("p"), F.transform(w, lambda x: F.xxhash64(x)).alias("ws")))
+    q = w.where((F.col("kind") == "question") & (F.size("ws") >= 2)).select("source_id", F.col("k").alias("qk"), F.col("p").alias("qp"), F.col("ws").alias("qw"))
+    f = w.where(F.col("kind") != "question").select("source_id", F.col("p").alias("fp"), F.col("ws").alias("fw"))
+    facts = f.select("source_id", "fp", "fw", F.explode("fw").alias("_w"))
+    two = but_commonest(q, "source_id", "qk", "qw").join(facts.hint("merge"), ["source_id", "_w"]).where((F.col("fp") > F.col("qp")) & (F.size(F.array_intersect("qw", "fw")) >= 2)).select("qk")
+    part = lambda c: F.floor(F.col(c) / reach)
+    near = q.select("source_id", "qk", "qp", F.explode("qw").alias("_w")).withColumn("_part", F.explode(F.array(part("qp"), part("qp") + 1)))
+    close = near.join(facts.withColumn("_part", part("fp")).hint("merge"), ["source_id", "_w", "_part"]).where((F.col("fp") > F.col("qp")) & (F.col("fp") - F.col("qp") < reach)).select("qk")
+    answered = two.union(close).distinct().withColumnRenamed("qk", key)
+    return statements.join(answered.hint("merge"), key, "left_anti")
