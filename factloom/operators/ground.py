@@ -18,22 +18,27 @@ from pyspark.sql import types as T
 
 from factloom.config import CONFIG, Config
 from factloom.functions import text as X
-from factloom.runtime import checkpoint
+from factloom.runtime import broadcast_if_small, checkpoint, written
 
 _TOKEN = "[a-z0-9]+"
 
 
 LINES_A_BLOCK = 100_000
+ANCHORS = 4
+"""3-grams of a quote, picked by hash, of which the rarest is sought. Any one would do: a verbatim quote has them all."""
+MOST_CALLS = 500_000
+MOST_GRAMS = 1_000_000
+"""Grams asked for, of 8 bytes each, up to which they are sent to every executor."""
 
 
-def _grams(tokens, n: int):
-    """Hashes of all n-grams of a token array."""
-    every = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " ")))
-    return X.let(tokens, lambda t: F.when(F.size(t) >= n, every(t)).otherwise(F.array().cast("array<bigint>")))
+def _grams(tokens):
+    """Hashes of all 3-grams of a token array."""
+    h = F.transform(tokens, lambda w: F.xxhash64(w))
+    return X.let(h, lambda t: F.transform(F.slice(t, 3, F.greatest(F.size(t) - 2, F.lit(0))), lambda z, i: F.xxhash64(F.get(t, i), F.get(t, i + 1), z)))
 
 
 def _gram(*tokens: str):
-    return F.xxhash64(F.concat_ws(" ", *tokens))
+    return F.xxhash64(*[F.xxhash64(t) for t in tokens])
 
 
 def line_norms(turns: DataFrame) -> DataFrame:
@@ -46,6 +51,7 @@ def line_norms(turns: DataFrame) -> DataFrame:
     lines = turns.where("text is not null and source_id is not null and line_no is not null").dropDuplicates(["source_id", "line_no"])
     lines = lines.select("source_id", F.col("line_no").cast("int").alias("line_no"), X.folded(F.col("text")).alias("norm")).where("norm <> ''")
     lines = lines.withColumns({"_blk": F.floor(F.col("line_no") / LINES_A_BLOCK), "_w": F.col("norm").rlike(_TOKEN).cast("long"), "_n": (F.length("norm") + 1).cast("long")})
+    lines = written(lines)  # read twice below
     inside = Window.partitionBy("source_id", "_blk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("source_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = lines.groupBy("source_id", "_blk").agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"))
@@ -57,7 +63,7 @@ def line_norms(turns: DataFrame) -> DataFrame:
 def _postings(lines: DataFrame) -> DataFrame:
     """source_id, g, rank: 3-grams of the words of each call, with the rank of the line each begins in. No texts."""
     t = lines.select("source_id", "rank", F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0)).alias("t")).where(F.size("t") > 0)
-    inner = t.select("source_id", F.explode(_grams(F.col("t"), 3)).alias("g"), "rank")
+    inner = t.select("source_id", F.explode(_grams(F.col("t"))).alias("g"), "rank")
     head = t.select("source_id", (F.col("rank") - 1).alias("rank"), F.get("t", F.lit(0)).alias("a"), F.get("t", F.lit(1)).alias("b"))
     # the second word after a line of one word is the first word of the line after that
     after = head.select("source_id", (F.col("rank") - 1).alias("rank"), F.col("a").alias("c"))
@@ -78,14 +84,22 @@ def _words_with(short: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _located(hits: DataFrame, lines: DataFrame, reach) -> DataFrame:
-    """Of hits(_key, source_id, _q, rank) those whose quote stands in the lines from the one before to ``reach`` after: adds line_no, where it begins."""
-    wanted = hits.withColumn("_at", F.explode(F.sequence(F.col("rank") - 1, F.col("rank") + reach)))
+    """Of hits(_key, source_id, _q, rank) those whose quote stands in the lines from ``reach`` before to ``reach`` after: adds line_no, where it begins,
+    and runs_on: whether the line before or after the place's is wholly inside the quote, without which it can't reach further.
+
+    The lines around a place are put together once, for all quotes that are sought there.
+    """
+    need = hits.groupBy("source_id", "rank").agg(F.max(reach).alias("_reach"))
+    wanted = need.select("source_id", "rank", F.explode(F.sequence(F.col("rank") - F.col("_reach"), F.col("rank") + F.col("_reach"))).alias("_at"))
     texts = lines.select("source_id", F.col("rank").alias("_at"), "line_no", "norm")
-    got = wanted.join(texts.hint("merge"), ["source_id", "_at"]).groupBy("_key", "source_id", "_q", "rank").agg(F.array_sort(F.collect_list(F.struct("line_no", "norm"))).alias("_l"))
-    got = got.withColumn("_p", F.expr("locate(_q, array_join(transform(_l, x -> x.norm), ' '))"))
+    around = wanted.join(texts.hint("merge"), ["source_id", "_at"]).groupBy("source_id", "rank").agg(F.array_sort(F.collect_list(F.struct("line_no", "norm", "_at"))).alias("_l"))
+    got = hits.join(around.hint("merge"), ["source_id", "rank"]).withColumn("_p", F.expr("locate(_q, array_join(transform(_l, x -> x.norm), ' '))"))
     # the line that holds character _p: lines are passed as long as they end before it
     walk = F.aggregate("_l", F.struct(F.lit(0).alias("end"), F.lit(None).cast("int").alias("line")), lambda acc, x: F.struct((acc.end + F.length(x.norm) + 1).alias("end"), F.when(acc.end < F.col("_p"), x.line_no).otherwise(acc.line).alias("line")))
-    return got.withColumn("line_no", F.when(F.col("_p") > 0, walk.getField("line"))).drop("_l", "_p")
+    beside = lambda step: F.expr(f"array_join(transform(filter(_l, x -> x._at = rank + {step}), x -> x.norm), ' ')")
+    inside = lambda c: F.expr(f"contains(_q, {c})") & (F.col(c) != "")
+    got = got.withColumns({"_before": beside(-1), "_after": beside(1)})
+    return got.select("_key", "source_id", "_q", "rank", F.when(F.col("_p") > 0, walk.getField("line")).alias("line_no"), ((F.col("_p") == 0) & (inside("_before") | inside("_after"))).alias("runs_on"))
 
 
 def verbatim_lines(quotes: DataFrame, key: str, quote: str, lines: DataFrame) -> DataFrame:
@@ -96,34 +110,38 @@ def verbatim_lines(quotes: DataFrame, key: str, quote: str, lines: DataFrame) ->
     """
     q = quotes.select(F.col(key).alias("_id"), "source_id", X.normalise(F.col(quote)).alias("_q")).where(F.col("_q").rlike(_TOKEN)).withColumn("_key", F.xxhash64("source_id", "_q"))
     q = checkpoint(q.distinct())
-    lines = checkpoint(lines)
+    lines = written(lines)
     one = q.groupBy("_key", "source_id", "_q").agg(F.lit(1)).select("_key", "source_id", "_q", F.regexp_extract_all("_q", F.lit(_TOKEN), F.lit(0)).alias("_t"))
     # inner words are whole words of the call: 3-grams of them, or single ones where there are fewer than three
     within = F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0)))
-    by_three = one.where(F.size("_t") >= 5).select("_key", "source_id", F.explode(F.array_distinct(_grams(within, 3))).alias("g"))
+    by_three = one.where(F.size("_t") >= 5).select("_key", "source_id", F.explode(F.slice(F.array_sort(F.array_distinct(_grams(within))), 1, ANCHORS)).alias("g"))
     few = checkpoint(one.where(F.size("_t") < 5))
-    words = lines.join(few.select("source_id").distinct().hint("merge"), "source_id", "left_semi").select("source_id", F.explode(F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0))).alias("word"), "rank")
+    calls_of = lambda df: broadcast_if_small(df.select("source_id").distinct(), MOST_CALLS)
+    words = lines.join(calls_of(few), "source_id", "left_semi").select("source_id", F.explode(F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0))).alias("word"), "rank")
     by_one = few.where(F.size("_t") >= 3).select("_key", "source_id", F.explode(F.array_distinct(F.transform(within, lambda w: F.xxhash64(w)))).alias("g"))
     short = few.where(F.size("_t") <= 2)
-    held = _words_with(short, words.join(short.select("source_id").distinct().hint("merge"), "source_id", "left_semi").select("source_id", "word").distinct())
-    single = words.select("source_id", F.xxhash64("word").alias("g"), "rank").distinct()
+    held = _words_with(short, words.join(calls_of(short), "source_id", "left_semi").select("source_id", "word").distinct())
+    single = words.select("source_id", F.xxhash64("word").alias("g"), "rank")
 
     def met(asked: DataFrame, postings: DataFrame, rarest: bool) -> DataFrame:
         """_key, source_id, rank: places of the asked grams, of each quote's rarest one only if so wanted."""
-        kept = checkpoint(postings.join(asked.select("source_id", "g").distinct().hint("merge"), ["source_id", "g"], "left_semi"))
+        with_call = lambda df: df.withColumn("g", F.xxhash64("source_id", "g"))
+        asked = checkpoint(with_call(asked))
+        # where few grams are asked for, others are dropped before anything is shuffled
+        kept = checkpoint(with_call(postings).select("g", "rank").join(broadcast_if_small(asked.select("g").distinct(), MOST_GRAMS), "g", "left_semi").distinct())
         if rarest:
-            df = kept.groupBy("source_id", "g").agg(F.count("*").alias("df"))
+            df = kept.groupBy("g").agg(F.count("*").alias("df"))
             # a gram the call doesn't have makes its quote hopeless
-            counted = asked.join(df.hint("merge"), ["source_id", "g"], "left").groupBy("_key", "source_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("m"))
+            counted = asked.join(df.hint("merge"), "g", "left").groupBy("_key", "source_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("m"))
             asked = counted.where("m.df > 0").select("_key", "source_id", "m.g")
-        return asked.join(kept.hint("merge"), ["source_id", "g"]).select("_key", "source_id", "rank").distinct()
+        return asked.join(kept.hint("merge"), "g").select("_key", "source_id", "rank").distinct()
 
     places = met(by_three, _postings(lines), True).union(met(by_one, single, True)).union(met(held, single, False))
     hits = checkpoint(places.join(one.select("_key", "_q").hint("merge"), "_key"))
     near = checkpoint(_located(hits, lines, F.lit(1)))
-    # only a quote of several words may run on further, over at most as many lines as it has words
-    far = _located(near.where("line_no is null").drop("line_no"), lines, F.size(F.regexp_extract_all("_q", F.lit(_TOKEN), F.lit(0))))
-    found = near.where("line_no is not null").union(far.where("line_no is not null")).groupBy("_key").agg(F.min("line_no").alias("line_no"))
+    # a quote reaches over at most as many lines as it has words
+    far = _located(near.where("runs_on").drop("line_no", "runs_on"), lines, F.size(F.regexp_extract_all("_q", F.lit(_TOKEN), F.lit(0))))
+    found = near.union(far).where("line_no is not null").groupBy("_key").agg(F.min("line_no").alias("line_no"))
     return q.join(found.hint("merge"), "_key").select(F.col("_id").alias(key), "line_no")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a parquet table in the checkpoint folder: compressed, and read by column. For wide rows and texts."""
+    checkpoint(df.sparkSession.range(0))  # sets a folder where there is none
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect a reference list that must be small; a larger one is an error, never cut short."""
     rows = df.limit(max_rows + 1).collect()

@@ -24,6 +24,18 @@ def test_verbatim(spark):
     assert G.ground(q.limit(0), turns(spark), "k").count() == 0 and {r.quote_line for r in G.ground(q, turns(spark).limit(0), "k").collect()} == {None}
 
 
+def test_verbatim_over_any_number_of_lines(spark):
+    t = spark.createDataFrame([
+        ("v", 1000, None, "N", "So the export keeps"), ("v", 1001, None, "O", "the last"), ("v", 2000, None, "N", "thirty"), ("v", 3000, None, None, "..."), ("v", 4000, None, "N", "days, of every"), ("v", 6001, None, "N", "signed invoice and nothing else"),
+        ("b", 1, None, "N", "Refunds are approved"), ("b", 3, None, "N", "by a branch manager"), ("b", 9, None, "N", "within two days."),
+    ], SCHEMA)
+    q = quotes(spark, [
+        (1, "v", "export keeps the last thirty ... days, of every signed invoice"), (2, "v", "the last thirty"), (3, "v", "of every signed invoice"), (4, "b", "refunds are approved by a branch manager within two days"), (5, "b", "approved by"), (6, "b", "manager within"),
+        (7, "v", "export keeps the first thirty ... days, of every signed invoice"), (8, "b", "days"), (9, "v", "ths last"), (10, "b", "ranch man"),
+    ])
+    assert {r.k: r.quote_line for r in G.ground(q, t, "k").collect()} == {1: 1000, 2: 1001, 3: 4000, 4: 1, 5: 1, 6: 3, 7: None, 8: 9, 9: None, 10: 3}
+
+
 def test_spans(spark):
     s = G.candidate_spans(spark.createDataFrame([("k", 1, None, None, "First sentence here. Tiny. First sentence here."), ("k", 2, None, None, "short"), ("k", 3, None, None, None)], SCHEMA))
     assert sorted((r.span, r.part) for r in s.collect()) == [("First sentence here.", 1), ("First sentence here. Tiny. First sentence here.", 0)]
