@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 
 from factloom import store
 from factloom.config import Config
-from factloom.plans.queries import VTT
+from tests.fixture import VTT
 from factloom.sources import transcripts as R
 
 
