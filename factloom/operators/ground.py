@@ -115,28 +115,25 @@ def verbatim_lines(quotes: DataFrame, key: str, quote: str, lines: DataFrame) ->
     # inner words are whole words of the call: 3-grams of them, or single ones where there are fewer than three
     within = F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0)))
     by_three = one.where(F.size("_t") >= 5).select("_key", "source_id", F.explode(F.slice(F.array_sort(F.array_distinct(_grams(within))), 1, ANCHORS)).alias("g"))
-    few = checkpoint(one.where(F.size("_t") < 5))
-    calls_of = lambda df: broadcast_if_small(df.select("source_id").distinct(), MOST_CALLS)
-    words = lines.join(calls_of(few), "source_id", "left_semi").select("source_id", F.explode(F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0))).alias("word"), "rank")
-    by_one = few.where(F.size("_t") >= 3).select("_key", "source_id", F.explode(F.array_distinct(F.transform(within, lambda w: F.xxhash64(w)))).alias("g"))
-    short = few.where(F.size("_t") <= 2)
-    held = _words_with(short, words.join(calls_of(short), "source_id", "left_semi").select("source_id", "word").distinct())
-    single = words.select("source_id", F.xxhash64("word").alias("g"), "rank")
-
-    def met(asked: DataFrame, postings: DataFrame, rarest: bool) -> DataFrame:
-        """_key, source_id, rank: places of the asked grams, of each quote's rarest one only if so wanted."""
-        with_call = lambda df: df.withColumn("g", F.xxhash64("source_id", "g"))
-        asked = checkpoint(with_call(asked))
-        # where few grams are asked for, others are dropped before anything is shuffled
-        kept = checkpoint(with_call(postings).select("g", "rank").join(broadcast_if_small(asked.select("g").distinct(), MOST_GRAMS), "g", "left_semi").distinct())
-        if rarest:
-            df = kept.groupBy("g").agg(F.count("*").alias("df"))
-            # a gram the call doesn't have makes its quote hopeless
-            counted = asked.join(df.hint("merge"), "g", "left").groupBy("_key", "source_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("m"))
-            asked = counted.where("m.df > 0").select("_key", "source_id", "m.g")
-        return asked.join(kept.hint("merge"), "g").select("_key", "source_id", "rank").distinct()
-
-    places = met(by_three, _postings(lines), True).union(met(by_one, single, True)).union(met(held, single, False))
+    few = one.where(F.size("_t").between(3, 4))
+    by_one = few.select("_key", "source_id", F.explode(F.array_distinct(F.transform(within, lambda w: F.xxhash64(w)))).alias("g"))
+    short = one.where(F.size("_t") <= 2)
+    words = lines.select("source_id", F.explode(F.regexp_extract_all("norm", F.lit(_TOKEN), F.lit(0))).alias("word"), "rank")
+    with_call = lambda df: df.withColumn("g", F.xxhash64("source_id", "g"))
+    asked = with_call(by_three.union(by_one)).withColumn("rarest", F.lit(True))
+    calls = short.select("source_id").distinct()
+    if not calls.isEmpty():
+        held = _words_with(short, words.join(broadcast_if_small(calls, MOST_CALLS), "source_id", "left_semi").select("source_id", "word").distinct())
+        asked = asked.union(with_call(held).withColumn("rarest", F.lit(False)))
+    asked = checkpoint(asked)
+    postings = with_call(_postings(lines)).select("g", "rank").union(with_call(words.select("source_id", F.xxhash64("word").alias("g"), "rank")).select("g", "rank"))
+    # where few grams are asked for, others are dropped before anything is shuffled
+    kept = checkpoint(postings.join(broadcast_if_small(asked.select("g").distinct(), MOST_GRAMS), "g", "left_semi").distinct())
+    df = kept.groupBy("g").agg(F.count("*").alias("df"))
+    # a gram the call doesn't have makes its quote hopeless
+    counted = asked.where("rarest").join(df.hint("merge"), "g", "left").groupBy("_key", "source_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("m"))
+    sought = counted.where("m.df > 0").select("_key", "source_id", "m.g").union(asked.where("not rarest").select("_key", "source_id", "g"))
+    places = sought.join(kept.hint("merge"), "g").select("_key", "source_id", "rank").distinct()
     hits = checkpoint(places.join(one.select("_key", "_q").hint("merge"), "_key"))
     near = checkpoint(_located(hits, lines, F.lit(1)))
     # a quote reaches over at most as many lines as it has words
