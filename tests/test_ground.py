@@ -123,3 +123,26 @@ def test_snap_equals_brute_force_on_noisy_quotes(spark):
             want[k] = (span, round(-score, 9))
     got = {r.k: (r.span, round(r.score, 9)) for r in G.snap(quotes(spark, rows), "k", G.candidate_spans(t)).collect()}
     assert len(want) >= 50 and got == want
+
+
+def test_snap_in_blocks_without_rows_of_words(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randrange(3, 9))) for _ in range(50)]
+    lines = [("k" if i % 8 else "m", i, None, None, ". ".join(" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(2))) for i in range(1, 400)]
+    lines += [("k", i + 1000, None, None, lines[i][4]) for i in range(0, 40)]
+    rows = [(i, rng.choice("km"), " ".join(w for w in rng.choice(lines)[4].split() if rng.random() > i / 120)) for i in range(60)]
+    t, q = spark.createDataFrame(lines, SCHEMA).cache(), quotes(spark, rows)
+    spans = [(r.source_id, r.span, r.n, r.line_no, r.part, r.norm) for r in G.candidate_spans(t).withColumn("norm", X.normalise(F.col("span"))).collect()]
+    want = {}
+    for r in q.select("k", "source_id", X.normalise(F.col("quote")).alias("q")).collect():
+        score, n, line, part, span = min((-G.similarity(r.q, norm), -n, line, part, span) for call, span, n, line, part, norm in spans if call == r.source_id)
+        if -score >= 0.66:
+            want[r.k] = (span, round(-score, 9), line)
+    monkeypatch.setattr(G, "SPANS_A_BLOCK", 150)  # both calls are divided
+    near = G.snap(q, "k", G.candidate_spans(t))
+    # a row for each word of a span, with the span's text, filled the disk
+    assert "split(norm" not in near._jdf.queryExecution().toString()
+    got = {r.k: (r.span, round(r.score, 9), r.span_line) for r in near.collect()}
+    assert 20 <= len(want) < 60 and got == want
