@@ -146,3 +146,40 @@ def test_snap_in_blocks_without_rows_of_words(spark, monkeypatch):
     assert "split(norm" not in near._jdf.queryExecution().toString()
     got = {r.k: (r.span, round(r.score, 9), r.span_line) for r in near.collect()}
     assert 20 <= len(want) < 60 and got == want
+
+
+def test_bounds_lose_nothing():
+    import random
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdeghilmnorstuéж") for _ in range(rng.randrange(2, 9))) for _ in range(70)] + ["the", "of", "aaaa"]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    spans = list(dict.fromkeys([line(rng.randrange(1, 70)) for _ in range(700)] + ["", "a", "the the the the the the the"]))
+    quotes = [" ".join(w for w in rng.choice(spans).split() if rng.random() > i / 80) for i in range(60)] + ["a", "ж"]
+    quotes = [q for q in quotes if q]
+    block = G.Spans(spans, list(range(len(spans))), quotes)
+    for q in quotes:
+        score = {i: G.similarity(q, block.norms[i]) for i in range(len(spans))}
+        for t in (0.66, 0.8, 0.95):
+            found = block.by_letters(q, t) | block.by_words(q, t)
+            assert {i for i, x in score.items() if x >= t} <= set(found)
+    # pairs of neighbours leave out most long spans before any subsequence is sought
+    long = next(q for q in quotes if len(q) > 250)
+    assert len(block.by_pairs(long, 0.95, 0, len(spans))) < 10
+
+
+def test_lines_are_divided_as_spans_are(spark):
+    texts = ["First  sentence here.\tTiny. \"Second ‘one’ there!\" Is it? ", "ΟΔΟΣ ends. ΑΣ. İstanbul’s gate.  opens", "a.\x02 b is here? No one. knows, .", "12345678", "1234567", "x. " * 9, "One. One. One is here.  One is here. "]
+    t = spark.createDataFrame([("k", i, None, None, x) for i, x in enumerate(texts)], SCHEMA)
+    want = {(r.line_no, r.part, r.span, r.norm) for r in G._spans(t, 8).withColumn("norm", X.normalise(F.col("span"))).collect()}
+    lines = G._blocks_of_lines(t, "body").withColumn("low", F.when(F.octet_length("body") != F.length("body"), F.col("norm"))).where("length(body) >= 8").collect()
+    assert {(r.line_no, i, *x) for r in lines for i, x in enumerate(G.quotable(r.body, r.low, 8))} == want
+    assert {r.line_no: r.norm for r in G._blocks_of_lines(t).collect()} == {r.line_no: r.norm for r in t.withColumn("norm", X.folded(F.col("text"))).collect()}
+
+
+def test_snap_shuffles_lines_not_spans(spark, monkeypatch):
+    seen = []
+    snap_lines = G.snap_lines
+    monkeypatch.setattr(G, "snap_lines", lambda *a: seen.append(a[2]) or snap_lines(*a))
+    G.snap_quotes(quotes(spark, [(1, "k1", "branch manager may approve refunds up to 200 dollars within 24 hours")]), turns(spark), "k")
+    assert seen[0].count() == turns(spark).where("text is not null").dropDuplicates(["source_id", "line_no"]).count()
